@@ -113,3 +113,27 @@ def scan_shapes(candles: DataFrame, bars: int = 60) -> DataFrame:
     return recent.select(
         "ticker", "date", F.explode(hits).alias("shape"), (c("close") > c("sma50")).alias("above_sma50"), (c("close") > c("sma200")).alias("above_sma200")
     )
+
+
+# Shapes whose check looks at the last two bars; the others look at the newest bar only.
+TWO_BAR = ("dragonfly_doji", "hammer", "hammer_basic", "inverted_hammer")
+WEIGHT_FLAGS = (
+    "dragonfly_doji", "hammer", "marubozu", "confirmed_hammer_a", "engulfing", "engulfing_trend_combo", "belt_hold", "harami",
+    "inverted_hammer", "morning_star", "piercing_line", "piercing_variant", "piercing_variant_b_combo", "three_soldiers",
+)
+COMPARISON_FLAGS = ("hammer_basic", "engulfing_confirmed")
+
+
+def signal_flags(signals: DataFrame, candles: DataFrame) -> DataFrame:
+    """All shape and combination flags as of each signal's bar."""
+    recent = candles.select(
+        "ticker", c("date").alias("signal_date"), *[(in_last(x, 2) if x in TWO_BAR else c(x)).alias(x) for x in SHAPES if x != "marubozu_basic"]
+    )
+    fam = c("pattern_family")
+    return signals.join(recent, ["ticker", "signal_date"]).withColumns(
+        {
+            "confirmed_hammer_a": (fam == "A") & c("hammer"),
+            "engulfing_trend_combo": fam.isin("A", "C", "G") & c("engulfing"),
+            "piercing_variant_b_combo": (fam == "B") & c("piercing_variant"),
+        }
+    )

@@ -1,4 +1,5 @@
-"""Lazily built inputs of the registered queries. Only plans are remembered, never data."""
+"""Inputs of the registered queries. Plans are remembered; bars and signal history are also kept as written tables,
+as a deployment would keep them between its steps."""
 
 from __future__ import annotations
 
@@ -8,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlight.config import COVERAGE_SCAN
 from barlight.operators import candles, indicators, patterns
+from barlight.session import durable
 from barlight.sources import derived
 from barlight.sources.derived import table
 
-__all__ = ["bars", "calendar", "candle_bars", "factors", "features", "signals", "table", "trading_days"]
-
 plan_once = lru_cache(maxsize=64)
 
 
@@ -37,10 +37,23 @@ def candle_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan_once
-def signals(spark: SparkSession, sf: str) -> DataFrame:
+def scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The full detection plan, from the raw table to signals."""
     return patterns.scan(features(spark, sf), COVERAGE_SCAN)
 
 
+@plan_once
+def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars as the table a deployment keeps: written once, read by everything downstream of detection."""
+    return durable(bars(spark, sf))
+
+
+@plan_once
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored signal history: the detection result as a written table."""
+    return durable(scan(spark, sf))
+
+
 @plan_once
 def factors(spark: SparkSession, sf: str) -> DataFrame:
     """Daily market factors: one row per order date."""

@@ -256,7 +256,7 @@ select {'true' if vectorised else 'false'} as vectorised, date as signal_date, t
   1::bigint as consensus_count from q"""
 
 
-oracle("pat_a_lt", long_term(True) + " union all " + long_term(False))
+oracle("pat_a_lt", f"select * from ({long_term(True)}) union all select * from ({long_term(False)})")
 cte("q_hits", " union all ".join(f"select * from ({rich(v)})" for v in LOOSE.values()))
 cte("q_sig", f"""
 with n as (select signal_date, ticker, count(distinct pattern_family)::bigint as consensus_count from q_hits group by 1, 2)

@@ -108,7 +108,7 @@ def pat_a_lt(spark, sf):
 
 @query
 def pat_multi(spark, sf):
-    return inputs.signals(spark, sf).select(*patterns.SIGNAL_COLUMNS, "consensus_count")
+    return inputs.scan(spark, sf).select(*patterns.SIGNAL_COLUMNS, "consensus_count")
 
 
 @query
@@ -119,23 +119,23 @@ def pat_all_dates(spark, sf):
 
 @query
 def pat_consensus(spark, sf):
-    out = inputs.signals(spark, sf).filter(c("consensus_count") > 1)
+    out = inputs.scan(spark, sf).filter(c("consensus_count") > 1)
     return out.select("signal_date", "ticker", "pattern", "consensus_count", "signal_score")
 
 
 @query
 def pat_combo_key(spark, sf):
-    return patterns.combo_key(inputs.signals(spark, sf))
+    return patterns.combo_key(inputs.scan(spark, sf))
 
 
 @query
 def pat_event_top(spark, sf):
-    return patterns.best_per_event(inputs.signals(spark, sf).select(*patterns.SIGNAL_COLUMNS, "consensus_count"))
+    return patterns.best_per_event(inputs.scan(spark, sf).select(*patterns.SIGNAL_COLUMNS, "consensus_count"))
 
 
 @query
 def vw_family_counts(spark, sf):
-    return inputs.signals(spark, sf).groupBy("pattern_family").agg(F.count("*").alias("signals"))
+    return inputs.scan(spark, sf).groupBy("pattern_family").agg(F.count("*").alias("signals"))
 
 
 @query

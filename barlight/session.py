@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +37,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise *df* in the checkpoint folder so every later reader sees the same rows.
+    """Hand *df* over as a written table in the checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as the cluster gives it; only a
-    session without one (tests, notebooks) gets a temporary folder.
+    Lineage ends here, every later reader sees the same rows, columns are still pruned on read, and the planner knows
+    the true size. A lost executor costs a re-read, not a recomputation.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/barlight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
