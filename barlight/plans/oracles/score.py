@@ -29,7 +29,7 @@ where k = n group by 1, 2""")
 cte("q_counts", """
 with p as (select ticker, signal_date, pattern, row_number() over (partition by ticker order by signal_date, pattern) - 1 as pos from q_sig)
 select p.ticker, p.signal_date, p.pattern, t.n, greatest(p.pos - count(o.pattern), 0)::bigint as cnt
-from p join q_thr t on t.d = p.signal_date left join q_sig o on o.ticker = p.ticker and o.signal_date <= t.threshold group by all, p.pos""")
+from p join q_thr t on t.d = p.signal_date left join q_sig o on o.ticker = p.ticker and o.signal_date <= t.threshold group by p.ticker, p.signal_date, p.pattern, t.n, p.pos""")
 oracle("ft_recent_count", "pivot (select ticker, signal_date, pattern, 'n' || n as n, cnt from q_counts) on n in ('n5', 'n10', 'n20', 'n40') using max(cnt)")
 cte("q_pf", f"""
 with a as (

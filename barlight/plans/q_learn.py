@@ -1 +1,199 @@
-"""Queries of this group."""
+"""Queries over training tables, learned weights and fitted models."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from barlight.config import SHORT_TERM, Outcome
+from barlight.functions.columns import rounded
+from barlight.operators import candles, models, outcomes as oc, stoprisk, training
+from barlight.operators.penalties import FEATURES
+from barlight.plans import inputs
+from barlight.plans.q_score import REGIME_FLAGS, catalytic, outcomes
+from barlight.plans.queries import query
+from barlight.session import durable
+
+c = F.col
+K = ("ticker", "signal_date", "pattern")
+
+
+@query
+def tr_history(spark, sf):
+    s = inputs.signals(spark, sf)
+    out = training.training_history(s, inputs.stored_bars(spark, sf))
+    return out.select(
+        *K, "month", "pattern_family", "target_price", "effective_stop_price", "bars_available", c("target_day").alias("first_target_hit_day"),
+        c("stop_day").alias("first_stop_hit_day"), "outcome", "win_flag", "loss_flag", "hold_flag", "stop_before_target", "stop_within_5d", "gap_through_stop",
+        "mae_exceeds_stop", "signal_score_pre_penalty", *FEATURES, *[f"feature_recent_signal_count_{n}d" for n in (5, 10, 20, 40)],
+    )
+
+
+@query
+def tr_date_window(spark, sf):
+    return training.date_window(inputs.signals(spark, sf), "signal_date", "1998-01-01", "1999-12-31").select(*K, "signal_score")
+
+
+@query
+def tr_recency_weight(spark, sf):
+    out = training.add_recency_weight(inputs.signals(spark, sf))
+    return out.select(*K, rounded(c("sample_weight"), 8).alias("sample_weight"))
+
+
+@query
+def tr_weighted_mean(spark, sf):
+    rows = training.add_recency_weight(outcomes(spark, sf))
+    mean = lambda x: rounded(training.weighted_mean(c(x).cast("double"), c("sample_weight")), 6).alias(x)
+    return rows.groupBy("pattern_family").agg(mean("win_flag"), mean("signal_score"), mean("feature_gap_pct"))
+
+
+@query
+def wt_family(spark, sf):
+    return training.family_weights(outcomes(spark, sf))
+
+
+@query
+def wt_quantile_buckets(spark, sf):
+    keys = ["feature", "family"]
+    out = training.bucket_ranges(training.quantile_edges(training.long_features(outcomes(spark, sf)), keys, 5, 25), keys)
+    return out.select(*keys, "lower", "upper", "include_upper")
+
+
+@query
+def wt_penalty_buckets(spark, sf):
+    return training.penalty_buckets(outcomes(spark, sf))
+
+
+@query
+def wt_lookback_select(spark, sf):
+    return training.select_lookback(outcomes(spark, sf))
+
+
+@inputs.plan_once
+def candle_rows(spark, sf):
+    """Signals with candle flags and the percentage-stop outcome, kept as a table."""
+    s = inputs.signals(spark, sf).select(*K, "pattern_family", "entry_price", "signal_score", "bar_no", "stop_price")
+    labelled = oc.forward_outcome(oc.touches(s, inputs.stored_bars(spark, sf), Outcome(), row_stop=False))
+    return durable(candles.signal_flags(labelled, inputs.candle_bars(spark, sf)))
+
+
+FLAGS = candles.WEIGHT_FLAGS + candles.COMPARISON_FLAGS
+
+
+@query
+def wt_candle_marginal(spark, sf):
+    return training.candle_marginals(candle_rows(spark, sf), FLAGS)
+
+
+@query
+def wt_candle_overlap(spark, sf):
+    rows = training.add_recency_weight(candle_rows(spark, sf))
+    return training.candle_overlap(rows, candles.WEIGHT_FLAGS, "sample_weight")
+
+
+@query
+def wt_candle_compare(spark, sf):
+    pairs = {"hammer": ("hammer_basic", "hammer"), "engulfing": ("engulfing", "engulfing_confirmed")}
+    return training.candle_compare(training.candle_marginals(candle_rows(spark, sf), FLAGS), pairs)
+
+
+PREP = ("signal_score", "score_trend", "score_setup", "feature_close_vs_prev_high_pct", "feature_gap_pct", "feature_range_vs_atr", "feature_gap_sequence_risk")
+
+
+@query
+def md_feature_prep(spark, sf):
+    out = models.prepare(outcomes(spark, sf), PREP)
+    return out.select("feature", *[rounded(c(x), 6).alias(x) for x in ("median", "mean", "std")])
+
+
+SCORES = ("signal_score", "score_trend", "score_setup", "score_volume", "score_rsi", "score_risk", "ma_slope_bonus", "consensus_count")
+
+
+@inputs.plan_once
+def st_rows(spark, sf):
+    """Short-term labelled signals with a recency weight, kept as a table."""
+    s = inputs.signals(spark, sf).drop("target", "stop")
+    labelled = oc.model_trade(oc.touches(s, inputs.stored_bars(spark, sf), SHORT_TERM, row_stop=False))
+    labelled = labelled.withColumns({"return_pct": rounded(c("return_pct"), 4), "month": F.date_format("signal_date", "yyyy-MM")})
+    return durable(training.add_recency_weight(labelled))
+
+
+def _scored(spark, sf, kind, **params):
+    rows = st_rows(spark, sf)
+    fitted = models.fit(rows, "st_hit_target_7d", SCORES, kind, weight="sample_weight", **params)
+    return fitted.score(rows, "probability_calibrated").select(*K, "st_hit_target_7d", "probability_calibrated")
+
+
+@query
+def md_logistic(spark, sf):
+    return _scored(spark, sf, "logistic")
+
+
+@query
+def md_rf(spark, sf):
+    return _scored(spark, sf, "random_forest")
+
+
+@query
+def md_gbt(spark, sf):
+    return _scored(spark, sf, "gbt")
+
+
+@query
+def md_margin(spark, sf):
+    return _scored(spark, sf, "margin")
+
+
+@query
+def md_isotonic(spark, sf):
+    """Calibration steps of a single score."""
+    rows = st_rows(spark, sf).withColumn("p", c("signal_score") / 100.0)
+    steps = models.isotonic_steps(rows, "p", "st_hit_target_7d")
+    return rows.select(*K, rounded(stoprisk.step_calibration(F.round("p", 4), steps), 6).alias("calibrated"))
+
+
+@query
+def md_stop_risk(spark, sf):
+    """Four targets from the scores-only feature set."""
+    rows = outcomes(spark, sf).filter(c("bars_available") >= 1)
+    features = tuple(f for f in stoprisk.FEATURE_SETS["scores_only"] if f in rows.columns)
+    out = rows
+    for target, name in stoprisk.TARGETS.items():
+        out = models.fit(rows, target, features).score(out, name)
+    return out.select(*K, *stoprisk.TARGETS.values())
+
+
+@query
+def md_cat_ridge(spark, sf):
+    labels = outcomes(spark, sf).select(*K, "win_flag")
+    rows = catalytic(spark, sf).join(labels, list(K))
+    features = (*REGIME_FLAGS, "within_earnings_window", "within_dividend_window", "post_event_gap_risk", "event_proximity_score")
+    return models.catalyst_ridge(rows, features, min_coverage=0.5)
+
+
+def _fit_fold(train, label, kind="logistic", weight=None):
+    fitted = models.fit(train, label, SCORES, kind, weight=weight)
+    return partial(fitted.score, name="score")
+
+
+@query
+def ev_walk_forward(spark, sf):
+    from barlight.operators.evaluate import walk_forward
+
+    rows = outcomes(spark, sf).select(*K, "month", "pattern_family", "stop_before_target", *SCORES)
+    rows = rows.filter(c("stop_before_target").isNotNull())
+    out = walk_forward(rows, partial(_fit_fold, label="stop_before_target"), "stop_before_target")
+    return out.select(*K, "fold", "stop_before_target", "score")
+
+
+@query
+def ev_holdout(spark, sf):
+    """One cutoff: fit before it, report tail rates per month after it."""
+    from barlight.operators.evaluate import tail_rates
+
+    rows = outcomes(spark, sf).filter(c("stop_before_target").isNotNull())
+    cut = F.lit("1999-07-01").cast("date")
+    fitted = models.fit(rows.filter(c("signal_date") < cut), "stop_before_target", SCORES)
+    scored = durable(fitted.score(rows.filter(c("signal_date") >= cut), "score").select("month", "score", "stop_before_target"))
+    return tail_rates(scored, "score", "stop_before_target", keys=("month",))
