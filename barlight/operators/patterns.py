@@ -308,7 +308,7 @@ def detect_long_term(features: DataFrame, cfg: Detection = Detection(), *, vecto
     raw = {
         "trend": clip_score(50.0 + (c("sma50") / c("sma200") - 1.0) * 100.0 * 5.0),
         "setup": clip_score(50.0 + (c("close") / c("prev_high_close") - 1.0) * 100.0 * 8.0),
-        "volume": clip_score(40.0 + c("volume") / c("vol_avg20") * 20.0),
+        "volume": clip_score(40.0 + _volume_ratio() * 20.0),
         "risk": clip_score(100.0 - (entry - stop) / entry * 100.0 * 6.0),
         "rsi": clip_score(F.coalesce(c("rsi_full") if vectorised else rounded(c("rsi_full"), 2), F.lit(50.0))),
     }

@@ -61,7 +61,8 @@ def long(source: str, keys: str = "") -> str:
     return f"select {k}outcome, feature, x, unnest([pattern_family, '__global__']) as family from ({every}) where x is not null"
 
 
-def bucket_sql(source: str, keys: str = "") -> str:
+def ranges_sql(source: str, keys: str = "") -> str:
+    """Equal-frequency ranges per (feature, family) from sorted value lists."""
     k = keys + ", " if keys else ""
     return f"""
 with l as ({long(source, keys)}),
@@ -71,7 +72,12 @@ e as (select {k}feature, family, {r('med', 6)} as anchor, list_distinct(list_tra
       * greatest((n - 1) * i / q::double - floor((n - 1) * i / q::double + 1e-9), 0) + 1e-9, 6)))) as es from g),
 s as (select {k}feature, family, anchor, list_sort(es) as es, len(es) as m from e),
 b as (select {k}feature, family, anchor, es[i] as lower, es[case when m = 1 then 1 else i + 1 end] as upper, (i = m - 1 or m = 1) as include_upper
-  from (select *, unnest(range(1, greatest(m, 2))) as i from s)),
+  from (select *, unnest(range(1, greatest(m, 2))) as i from s))"""
+
+
+def bucket_sql(source: str, keys: str = "") -> str:
+    k = keys + ", " if keys else ""
+    return f"""{ranges_sql(source, keys)},
 c as (select {k}feature, family, anchor, lower, upper, include_upper, count(*)::bigint as n, avg((outcome = 'win')::int) as w, avg((outcome = 'loss')::int) as lo
   from l join b using ({k}feature, family) where x >= lower and (x < upper or (include_upper and x <= upper)) group by all)
 select {k}feature, family, lower, upper, include_upper, n as count, {r('w', 4)} as win_rate, {r('lo', 4)} as loss_rate, {r('w - lo', 4)} as edge,
