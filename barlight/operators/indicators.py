@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlight.config import Detection
-from barlight.functions.columns import by_ticker, frame, lagged, pct_change, rolling
+from barlight.functions.columns import by_ticker, frame, lagged, pct_change
 from barlight.functions.recursive import Ewm, add_ewm
 
 
@@ -19,23 +19,32 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-def _long_mean(col: str, n: int) -> Column:
-    """Mean of n bars as the difference of two running sums: constant work per bar for wide windows."""
-    return F.when(
-        F.col(f"_n_{col}") - F.coalesce(lagged(f"_n_{col}", n), F.lit(0)) == n,
-        (F.col(f"_s_{col}") - F.coalesce(lagged(f"_s_{col}", n), F.lit(0.0))) / n,
-    )
-
-
-def _extreme(fn, col: str, part: int, parts: int, shift: int = 0) -> Column:
-    """Extreme of part*parts bars from *parts* lagged extremes of *part* bars: work grows with the square root of the width."""
-    pieces = [F.lag(col, shift + k * part).over(by_ticker()) if shift + k else F.col(col) for k in range(parts)]
+def _cover(fn, col: str, offsets: list[int]) -> Column:
+    """Extreme over a wide window from lagged extremes of a narrow one; the pieces may overlap. Null until all exist."""
+    pieces = [lagged(col, k) if k else F.col(col) for k in offsets]
+    if len(pieces) == 1:
+        return pieces[0]
     known = F.lit(True)
     for piece in pieces:
         known = known & piece.isNotNull()
     return F.when(known, fn(*pieces))
 
 
+def _spread(width: int, part: int) -> list[int]:
+    """Offsets at which windows of *part* bars cover *width* bars."""
+    return sorted({min(k, width - part) for k in range(0, width, part)})
+
+
+def _full(n: int, value: Column) -> Column:
+    """Prices are never null, so a window is complete from the n-th bar on."""
+    return F.when(F.col("bar_no") >= n, value)
+
+
+def _run(col: str, n: int) -> Column:
+    """Sum over n bars as the difference of two running sums: constant work per bar."""
+    return F.col(col) - F.coalesce(lagged(col, n), F.lit(0.0))
+
+
 def wilder_rsi(gain: str = "avg_gain", loss: str = "avg_loss", *, zero_loss: float | None = None, min_bars: int = 1) -> Column:
     """RSI from the two averages. *zero_loss* is the value when nothing was lost (null if None)."""
     g, l = F.col(gain), F.col(loss)
@@ -71,84 +80,89 @@ def recursive_columns(numbered: DataFrame) -> DataFrame:
 
 
 def frame_columns(numbered: DataFrame, cfg: Detection = Detection()) -> DataFrame:
-    """Every window column that is not recursive."""
+    """Every window column that is not recursive.
+
+    Means come from running sums and wide extremes from lagged narrow ones, so the work per bar does not grow with the
+    window. Prices are non-null by contract (the readers drop incomplete bars); volume may be missing.
+    """
     running = frame(Window.unboundedPreceding, 0)
-    close_part = next(p for p in (8, 7, 6, 5, 4, 3, 2, 1) if cfg.breakout_days % p == 0)
-    tp_volume = (F.col("high") + F.col("low") + F.col("close")) / 3.0 * F.col("volume")
-    out = numbered.withColumns({"_tpv": tp_volume, "_pv": F.col("close") * F.col("volume")})
+    wide = cfg.breakout_days
+    part = min(20, wide)
+    out = numbered.withColumns(
+        {"_tpv": (F.col("high") + F.col("low") + F.col("close")) / 3.0 * F.col("volume"), "_pv": F.col("close") * F.col("volume")}
+    )
     out = out.withColumns(
         {
-            "_n_close": F.count("close").over(running),
             "_s_close": F.sum("close").over(running),
+            "_s_tpv": F.sum("_tpv").over(running),
+            "_s_pv": F.sum("_pv").over(running),
+            "_n_volume": F.count("volume").over(running).cast("double"),
             "cum_volume": F.sum("volume").over(running),
             "close_prev1": lagged("close"),
             "open_prev1": lagged("open"),
             "high_prev1": lagged("high"),
             "low_prev1": lagged("low"),
-            "sma20": rolling(F.avg, "close", 20),
-            "bb_std": rolling(F.stddev_samp, "close", 20),
-            "vol_avg20": rolling(F.avg, "volume", 20),
-            "_max_close": rolling(F.max, "close", close_part),
-            "_max_high21": rolling(F.max, "high", 21),
-            "prev20_close": rolling(F.max, "close", 20, shift=1),
-            "swing_low10": rolling(F.min, "low", 10, shift=1),
-            "high20": rolling(F.max, "high", 20, shift=1),
-            "vwap": rolling(F.sum, "_tpv", 20) / F.nullif(rolling(F.sum, "volume", 20), F.lit(0.0)),
+            "bb_std": _full(20, F.stddev_samp("close").over(frame(-19, 0))),
+            "_top_close": _full(part, F.max("close").over(frame(-(part - 1), 0))),
+            "_top_close20": _full(20, F.max("close").over(frame(-19, 0))),
+            "_top_high20": _full(20, F.max("high").over(frame(-19, 0))),
             "low5_recent": F.min("low").over(frame(-4, 0)),
             "low10_recent": F.min("low").over(frame(-9, 0)),
-            "close_vwap20": F.sum("_pv").over(frame(-19, 0)) / F.nullif(F.sum("volume").over(frame(-19, 0)), F.lit(0.0)),
             "next_open": F.coalesce(F.lead("open").over(by_ticker()), F.col("close")),
             "_piv_h": _pivot(F.max, "high", cfg.pivot_span, high=True),
             "_piv_l": _pivot(F.min, "low", cfg.pivot_span, high=False),
             **{f"ret_{k}": pct_change(F.col("close"), lagged("close", k)) for k in (1, 3, 5, 20, 60)},
         }
     )
-    mid, std = F.col("sma20"), F.col("bb_std")
+    volume20 = F.nullif(_run("cum_volume", 20), F.lit(0.0))
     out = out.withColumns(
         {
-            "prev_high_close": _extreme(F.greatest, "_max_close", close_part, cfg.breakout_days // close_part, shift=1)
-            if cfg.breakout_days > close_part
-            else lagged("_max_close"),
-            "high252": _extreme(F.greatest, "_max_high21", 21, 12),
             "tr": true_range(),
-            "sma50": _long_mean("close", 50),
-            "sma200": _long_mean("close", 200),
-            "bb_upper": mid + 2.0 * std,
-            "bb_lower": mid - 2.0 * std,
-            "bb_width": ((mid + 2.0 * std) - (mid - 2.0 * std)) / F.nullif(mid, F.lit(0.0)),
+            "sma20": _full(20, _run("_s_close", 20) / 20.0),
+            "sma50": _full(50, _run("_s_close", 50) / 50.0),
+            "sma200": _full(200, _run("_s_close", 200) / 200.0),
+            "vol_avg20": F.when(_run("_n_volume", 20) == 20, _run("cum_volume", 20) / 20.0),
+            "vwap": F.when(_run("_n_volume", 20) == 20, _run("_s_tpv", 20) / volume20),
+            "close_vwap20": _run("_s_pv", 20) / volume20,
+            "prev_high_close": _cover(F.greatest, "_top_close", [k + 1 for k in _spread(wide, part)]),
+            "prev20_close": lagged("_top_close20"),
+            "high20": lagged("_top_high20"),
+            "swing_low10": F.when(F.col("bar_no") > 10, lagged("low10_recent")),
+            "_top_high100": _cover(F.greatest, "_top_high20", _spread(100, 20)),
             "gap_pct": pct_change(F.col("open"), F.col("close_prev1")),
             "pivot_high": F.coalesce("_piv_h", F.lit(False)),
             "pivot_low": F.coalesce("_piv_l", F.lit(False)),
         }
     )
+    mid, std = F.col("sma20"), F.col("bb_std")
     out = out.withColumns(
         {
-            "atr14": rolling(F.avg, "tr", 14),
-            "_min_width12": rolling(F.min, "bb_width", 12),
-            "dist_52w_high_pct": pct_change(F.col("close"), F.col("high252")),
+            "bb_upper": mid + 2.0 * std,
+            "bb_lower": mid - 2.0 * std,
+            "bb_width": ((mid + 2.0 * std) - (mid - 2.0 * std)) / F.nullif(mid, F.lit(0.0)),
+            "high252": _cover(F.greatest, "_top_high100", _spread(252, 100)),
+            "atr14": _full(14, F.avg("tr").over(frame(-13, 0))),
             "sma50_slope_pct": pct_change(F.col("sma50"), lagged("sma50", 5)),
             "prev_gap_pct": lagged("gap_pct"),
         }
     )
-    out = out.withColumn("bb_width_min", _extreme(F.least, "_min_width12", 12, 10))
-    squeeze = F.coalesce(F.col("bb_width") <= F.col("bb_width_min") * 1.05, F.lit(False))
-    out = out.withColumns(
-        {"squeeze": squeeze, "range_vs_atr": (F.col("high") - F.col("low")) / F.nullif(F.col("atr14"), F.lit(0.0))}
-    )
     out = out.withColumns(
         {
-            "squeeze_recent": F.max("squeeze").over(frame(-2, 0)),
-            "prev_range_vs_atr": lagged("range_vs_atr"),
+            "_low_width": _full(39, F.min("bb_width").over(frame(-19, 0))),
+            "dist_52w_high_pct": pct_change(F.col("close"), F.col("high252")),
+            "range_vs_atr": (F.col("high") - F.col("low")) / F.nullif(F.col("atr14"), F.lit(0.0)),
         }
     )
-    return out.drop("_tpv", "_pv", "_n_close", "_s_close", "_piv_h", "_piv_l", "_max_close", "_max_high21", "_min_width12")
+    out = out.withColumns({"bb_width_min": _cover(F.least, "_low_width", _spread(120, 20)), "prev_range_vs_atr": lagged("range_vs_atr")})
+    out = out.withColumn("squeeze", F.coalesce(F.col("bb_width") <= F.col("bb_width_min") * 1.05, F.lit(False)))
+    out = out.withColumn("squeeze_recent", F.max("squeeze").over(frame(-2, 0)))
+    return out.drop(*[x for x in out.columns if x.startswith("_")])
 
 
 def _pivot(fn, col: str, span: int, *, high: bool) -> Column:
     """Strictly beyond the *span* bars before and at least level with the *span* bars after, both complete."""
-    before, after = frame(-span, -1), frame(1, span)
-    full = (F.count(col).over(before) == span) & (F.count(col).over(after) == span)
-    v, b, a = F.col(col), fn(col).over(before), fn(col).over(after)
+    full = (F.col("bar_no") > span) & F.lead(col, span).over(by_ticker()).isNotNull()
+    v, b, a = F.col(col), fn(col).over(frame(-span, -1)), fn(col).over(frame(1, span))
     return full & ((v > b) & (v >= a) if high else (v < b) & (v <= a))
 
 

@@ -53,7 +53,7 @@ def normalise_bars(raw: DataFrame) -> DataFrame:
     ticker = F.trim("ticker")
     return raw.withColumns({"date": F.col("date").try_cast("date"), "ticker": ticker, **numeric}).filter(
         ~F.upper(ticker).isin(*BENCHMARK_TICKERS)
-    )
+    ).dropna(subset=["date", "ticker", "open", "high", "low", "close"])
 
 
 def parse_quotes(payloads: DataFrame, column: str = "payload", benchmarks: tuple = BENCHMARK_TICKERS) -> DataFrame:

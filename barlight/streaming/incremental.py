@@ -42,7 +42,7 @@ class Store:
 def relevant_history(stored: DataFrame, fresh: DataFrame, bars: int = LOOKBACK_BARS) -> DataFrame:
     """Stored and new bars of the instruments that moved: everything new and the *bars* before it."""
     first = fresh.groupBy("ticker").agg(F.min("date").alias("_first"))
-    keyed = keep_last(stored, ["ticker", "date"], "batch").join(first, "ticker")
+    keyed = keep_last(stored.join(first, "ticker"), ["ticker", "date"], "batch")
     back = F.count_if(c("date") < c("_first")).over(
         Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
     )
