@@ -38,11 +38,13 @@ def merge_factors(factors: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """CSV or Parquet by suffix; Parquet may be partitioned for pruning."""
-    writer = df.write.mode("overwrite")
+    """CSV or Parquet by suffix; Parquet may be partitioned for pruning.
+
+    Rows are rebalanced on the partition column first: few files per value, and a large value is split over tasks.
+    """
     if path.endswith(".csv"):
-        writer.option("header", True).csv(path)
-        return
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        df.write.mode("overwrite").option("header", True).csv(path)
+    elif partition_by:
+        df.hint("rebalance", F.col(partition_by)).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
