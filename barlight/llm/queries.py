@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import bpe
+from barlight.llm import bpe, ngram_join, packing, rules, warc
 from barlight.sources.derived import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,5 +18,31 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False, keep_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_bpe_codec": op5_bpe_codec}
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the rule cascade for every document."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives and read back."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_warc_archives": op8_warc_archives,
+    "op10_sequence_packing": op10_sequence_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
