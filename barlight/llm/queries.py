@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import bpe, ngram_join, packing, rules, warc
+from barlight.llm import bpe, line_templates, ngram_join, packing, rules, topk, toxicity, warc
 from barlight.sources.derived import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,11 +18,26 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False, keep_text=False)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned by weak supervision."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return ngram_join.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of templates that recur across documents."""
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the rule cascade for every document."""
     return rules.judge(table(spark, sf_dir, "documents"))
@@ -39,8 +54,11 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_exact_top_k": op2_exact_top_k,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_line_templates": op6_line_templates,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc_archives": op8_warc_archives,
     "op10_sequence_packing": op10_sequence_packing,

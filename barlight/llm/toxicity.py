@@ -125,13 +125,13 @@ def votes(doc: np.ndarray, term: np.ndarray, n: np.ndarray, words: np.ndarray, t
     """A row of votes for each text: 1 toxic, -1 clean, 0 nothing. kinds: 0-2 word lexicons, 4-6 stem lexicons."""
     size = len(words)
     tally = lambda mask: np.bincount(doc[mask], n[mask], size)
-    both = lambda hits: np.where(hits >= 2, 1, np.where(hits == 0, -1, 0))
+    both = lambda hits: np.where(hits >= 2, 1, -1)  # noqa: E731  one hit may be chance
     columns = [np.where(tally(kinds[term] == k) >= 2, 1, 0) for k in range(3)]
     columns += [both(tally(kinds[term] == k)) for k in STEMS]
     whole = kinds[term] < 3
     columns.append(both(np.bincount(doc[whole], minlength=size)))
     hits = tally(kinds[term] == STEMS[0]) + tally(whole)
-    columns.append(np.where(hits >= 2 + words / 400, 1, np.where(hits == 0, -1, 0)))
+    columns.append(np.where(hits >= 2 + words / 400, 1, np.where(hits < 2, -1, 0)))
     texts = pc.fill_null(texts, "")
     rate = lambda pattern: pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False) / np.maximum(words, 1)
     columns.append(np.where(rate("!") > 0.03, 1, 0))
