@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import bpe, line_templates, ngram_join, packing, rules, topk, toxicity, warc
+from barlight.llm import bpe, licenses, line_templates, ngram_join, packing, quality, rules, topk, toxicity, warc
 from barlight.sources.derived import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices that documents hold."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return ngram_join.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
@@ -48,6 +53,11 @@ def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned by co-training."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -56,11 +66,13 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_line_templates": op6_line_templates,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc_archives": op8_warc_archives,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_sequence_packing": op10_sequence_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
