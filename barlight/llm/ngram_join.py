@@ -4,11 +4,12 @@
 2. Two sets with Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles of each, in any order of all shingles. The order here puts
    rare ones first (counts of all documents in a table of hashed shingles), so what many documents share is not looked up.
 3. Nodes that share a minimum of one of three hashes are held against the smallest of them. Groups of near copies connect by these few links.
+   Pairs whose signatures rule the similarity out are dropped unread.
 4. Nodes that share a prefix shingle meet in a *tile* of one size band, if they are not connected yet. A tile of many nodes is cut into chunks,
    and pairs of chunks are tiles of their own. Bit counts of hashed signatures bound the overlap of a pair from above; what passes is
    intersected exactly, as sorted arrays.
 
-Shingles are 64-bit hashes. Sets are built again from their texts for those nodes alone that share something.
+Shingles are 64-bit hashes. Sets are built again from their texts for those nodes alone that a pair asks for; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from barlight.llm.components import components
 from barlight.session import durable
 
 SIGNATURE_BITS = 1024
-COUNT_BUCKETS = 1 << 22
+COUNT_BUCKETS = 1 << 21
 COUNT_BLOCK = 1 << 16
 TILE_ROWS = 2048
 MINIMA = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -84,7 +85,7 @@ def shingle_classes(docs: DataFrame, width: int) -> np.ndarray:
         for block in range(0, COUNT_BUCKETS, COUNT_BLOCK):
             at = np.flatnonzero(counts[block : block + COUNT_BLOCK]).astype(np.uint16)
             if len(at):
-                n = counts[block : block + COUNT_BLOCK][at]
+                n = np.minimum(counts[block : block + COUNT_BLOCK][at], 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([pa.array([block // COUNT_BLOCK], pa.int32()), pa.array([at.tobytes()]), pa.array([n.tobytes()])], ["block", "at", "n"])
 
     def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def shingle_classes(docs: DataFrame, width: int) -> np.ndarray:
         for batch in groups:
             for key, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "n"))):
                 block = key
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
         classes = np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([classes.tobytes()])], ["block", "classes"])
 
@@ -197,6 +198,51 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures allow to be alike."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            bound = np.minimum((n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2, np.minimum(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(100 * bound >= percent * (n + m - bound)))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes that *pairs* name, built from the text of one of their documents.
+
+    A Bloom filter of those documents' ids (16 MB at most) tells each task which texts to look at; the nodes found are then matched exactly.
+    """
+    wanted = durable(nodes.select("node", "doc_id").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").withColumn("h", F.xxhash64("doc_id")))
+    bits = 1 << int(min(27, max(16, math.ceil(math.log2(16 * wanted.count() + 1)))))
+    at = F.pmod(F.col("h"), F.lit(bits))
+    words = wanted.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("mask")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            at = batch.column("h").to_numpy() % bits
+            batch = batch.filter(pa.array((table[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)))
+            for part in slices(iter([batch]), "text"):
+                sets = shingle_sets(part.column("text"), width)
+                held = [(h, node_of(s), s.tobytes()) for h, s in zip(part.column("h").to_pylist(), sets) if len(s)]
+                columns = [pa.array([x[k] for x in held], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "node", "shingles"])
+
+    found = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(rebuild, "h long, node long, shingles binary")
+    return durable(found.join(wanted.select("node", "h"), ["node", "h"]).select("node", "shingles").dropDuplicates(["node"]))
+
+
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n, node) of every distinct set, and links (a, b) between nodes that connect all that are alike.
 
@@ -210,26 +256,13 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     minima = nodes.select("node", F.posexplode("minima").alias("slot", "key"))
     leaders = minima.groupBy("slot", "key").agg(F.min("node").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
     near = minima.join(leaders, ["slot", "key"]).filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    near = durable(plausible(near, nodes, percent))
+    first = durable(alike(near, sets_of(docs, near, nodes, width), percent))
+    label = components(first)
 
     posted = nodes.select("node", F.explode("keys").alias("key"))
-    shared = durable(posted.join(posted.groupBy("key").count().filter("count > 1").select("key"), "key").select("key", "node"))
-    near = durable(near)
-
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).union(shared.select("node")).distinct()
-    chosen = nodes.select("node", "doc_id", "n").join(wanted, "node").withColumnRenamed("doc_id", "rep")
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            sets = shingle_sets(part.column("text"), width)
-            same = [len(s) > 0 and node_of(s) == node for s, node in zip(sets, part.column("node").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]).filter(pa.array(same, pa.bool_()))
-
-    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["rep"])).select("node", "text")
-    sets = durable(texts.mapInArrow(rebuild, "node long, shingles binary").dropDuplicates(["node"]))
-
-    first = durable(alike(near, sets, percent))
-    label = components(first)
-    labelled = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    shared = posted.join(posted.groupBy("key").count().filter("count > 1").select("key"), "key").select("key", "node")
+    labelled = durable(shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
     facts = nodes.select("node", "n", "signature")
     band = F.floor(F.log("n") / math.log(1 / (percent / 100 - 0.001)))
@@ -242,7 +275,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     tiles = cut.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     order = ["key", "band", "low", "high"]
     tiles = tiles.repartition(*order).sortWithinPartitions(*order, "n").select(*order, "n", "node", "label", "home", "chunk", "signature")
-    more = alike(tile_pairs(tiles, percent).distinct(), sets, percent)
+    pairs = durable(tile_pairs(tiles, percent).distinct())
+    more = alike(pairs, sets_of(docs, pairs, nodes, width), percent)
     return members, durable(first.union(more))
 
 
