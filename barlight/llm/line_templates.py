@@ -7,7 +7,7 @@ nearly all tokens are constant belongs to the leaf's template, in which the othe
 A template that recurs across documents is dropped from all of them. Copies of whole documents are not recurrence: equal texts count once, and most of
 a template's documents must hold it between different neighbours, as boilerplate and shared passages are and the lines of near copies aren't.
 
-Only hashes of lines are shuffled; texts move once, to meet the positions that go. All groupings pre-aggregate, so a line that a third of all
+Only hashes of lines are shuffled, and the lines of leaves that hold several; texts move once, to meet the positions that go. All groupings pre-aggregate, so a line that a third of all
 documents hold is one row for each split before it moves.
 """
 
@@ -15,34 +15,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlight.session import durable
+
 LEADING = 3
 MIN_TEXTS = 3
 CONSTANT_SHARE = 0.8
+BITMAP = 1 << 22
 MIN_TOKENS = 5
 """Shorter lines are their own templates: too few tokens to tell constants from variables."""
 
 
 def masked(line: Column) -> Column:
     """Tokens with one space between them; a token with a digit is a variable field."""
-    plain = F.trim(F.translate(line, "\t\r\f\x0b", "    "))
-    return F.when(plain.rlike("[0-9]|  "), F.regexp_replace(F.regexp_replace(plain, " +", " "), "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    tidy = F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0b]+", " "))
+    return F.when(line.rlike("[0-9\\t\\r\\f\\x0b]|  |^ | $"), F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """A row for each line with a token of each different text: text key (h, size), position, masked line, its hash, leaf and context."""
-    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), F.split("text", "\n").alias("lines"))
-    parts = texts.select("h", "size", "lines", F.posexplode("lines").alias("position", "line"))
-    parts = parts.withColumn("context", F.xxhash64(F.get("lines", F.col("position") - 1), F.get("lines", F.col("position") + 1))).drop("lines")
-    parts = parts.withColumn("mask", masked(F.col("line"))).filter("mask != ''").drop("line")
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """A row for each line with a token of each text: text key (h, size), position, context, masked line, its hash, tokens and leaf."""
+    lines = F.split("text", "\n")
+    around = lambda x, i: F.struct(i.alias("position"), x.alias("line"), F.xxhash64(F.get("lines", i - 1), F.get("lines", i + 1)).alias("context"))
+    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), lines.alias("lines"))
+    parts = texts.select("h", "size", F.explode(F.transform("lines", around)).alias("part"))
+    parts = parts.select("h", "size", "part.position", "part.context", masked(F.col("part.line")).alias("mask")).filter("mask != ''")
     tokens = F.length("mask") - F.length(F.replace("mask", F.lit(" "), F.lit(""))) + 1
-    parts = parts.withColumns({"tokens": tokens, "event": F.xxhash64("mask")})
-    return parts.withColumn("leaf", F.xxhash64("tokens", F.substring_index("mask", " ", LEADING)))
+    return parts.withColumns({"event": F.xxhash64("mask"), "tokens": tokens, "leaf": F.xxhash64(tokens, F.substring_index("mask", " ", LEADING))})
+
+
+def in_bitmap(hashes: DataFrame, name: str) -> Column:
+    """Whether column *name* may be among *hashes* (same name): a bitmap of fixed size, half a megabyte, as a constant of the plan."""
+    at = F.pmod(name, F.lit(BITMAP))
+    words = hashes.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("mask"))
+    table = ["0"] * (BITMAP // 32)
+    for row in words.collect():
+        table[row["word"]] = str(row["mask"])
+    bits = F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
+    return F.get(bits, F.floor(at / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))) != 0
 
 
-def leaf_templates(lines: DataFrame) -> DataFrame:
+def leaf_templates(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(event, template) of the lines that belong to the template of a leaf that holds several different lines."""
-    several = lines.filter(F.col("tokens") >= MIN_TOKENS).groupBy("leaf").agg(F.min("event").alias("low"), F.max("event").alias("high")).filter("low != high").select("leaf")
-    events = lines.filter(F.col("tokens") >= MIN_TOKENS).join(several, "leaf").groupBy("leaf", "event").agg(F.max("mask").alias("mask"))
+    several = facts.filter(F.col("tokens") >= MIN_TOKENS).groupBy("leaf").agg(F.min("event").alias("low"), F.max("event").alias("high")).filter("low != high").select("leaf")
+    several = durable(several)
+    lines = parsed_lines(docs).filter((F.col("tokens") >= MIN_TOKENS) & in_bitmap(several, "leaf")).select("leaf", "event", "mask")
+    events = durable(lines.groupBy("leaf", "event").agg(F.max("mask").alias("mask")).join(several, "leaf"))
     tokens = events.select("leaf", "event", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     sizes = events.groupBy("leaf").agg(F.count("*").alias("all"))
@@ -65,9 +81,9 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     A null text stays null and an empty one empty; a text of which all lines go becomes empty; lines without a token stay. Repeated rows and copies
     come out alike. An empty table gives an empty one. Columns of *docs* named n_lines or n_dropped are replaced.
     """
-    lines = line_table(docs)
-    templates = leaf_templates(lines)
-    parsed = lines.join(templates, "event", "left").withColumn("template", F.coalesce("template", "event")).select("h", "size", "position", "context", "template")
+    facts = durable(parsed_lines(docs).drop("mask"))
+    templates = leaf_templates(docs, facts)
+    parsed = durable(facts.join(templates, "event", "left").select("h", "size", "position", "context", F.coalesce("template", "event").alias("template")))
     gone = parsed.join(recurring(parsed).select("template"), "template").groupBy("h", "size").agg(F.collect_set("position").alias("gone"))
     keyed = docs.drop("n_lines", "n_dropped").withColumns({"_h": F.xxhash64("text"), "_size": F.length("text")})
     gone = gone.select(F.col("h").alias("_h"), F.col("size").alias("_size"), F.col("gone").alias("_gone"))
