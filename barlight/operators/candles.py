@@ -92,8 +92,11 @@ def in_last(flag: str, bars: int) -> Column:
 
 
 def candle_combos(signals: DataFrame, candles: DataFrame) -> DataFrame:
-    """Flags that need both a family and a candle on the signal bar."""
-    flags = candles.select("ticker", c("date").alias("signal_date"), "hammer", "engulfing", "piercing_variant")
+    """Flags that need both a family and a candle as of the signal bar."""
+    return _with_combos(signals, flags_as_of(candles, ("hammer", "engulfing", "piercing_variant")))
+
+
+def _with_combos(signals: DataFrame, flags: DataFrame) -> DataFrame:
     fam = c("pattern_family")
     return signals.join(flags, ["ticker", "signal_date"]).withColumns(
         {
@@ -104,6 +107,11 @@ def candle_combos(signals: DataFrame, candles: DataFrame) -> DataFrame:
     )
 
 
+def flags_as_of(candles: DataFrame, shapes: tuple) -> DataFrame:
+    """Each shape as its check sees it on a bar: on the last two bars or on the newest one."""
+    return candles.select("ticker", c("date").alias("signal_date"), *[(in_last(x, 2) if x in TWO_BAR else c(x)).alias(x) for x in shapes])
+
+
 def scan_shapes(candles: DataFrame, bars: int = 60) -> DataFrame:
     """Plain shape hits within the last *bars* bars of each instrument, with trend context."""
     last = candles.groupBy("ticker").agg(F.max("bar_no").alias("_last"))
@@ -126,14 +134,4 @@ COMPARISON_FLAGS = ("hammer_basic", "engulfing_confirmed")
 
 def signal_flags(signals: DataFrame, candles: DataFrame) -> DataFrame:
     """All shape and combination flags as of each signal's bar."""
-    recent = candles.select(
-        "ticker", c("date").alias("signal_date"), *[(in_last(x, 2) if x in TWO_BAR else c(x)).alias(x) for x in SHAPES if x != "marubozu_basic"]
-    )
-    fam = c("pattern_family")
-    return signals.join(recent, ["ticker", "signal_date"]).withColumns(
-        {
-            "confirmed_hammer_a": (fam == "A") & c("hammer"),
-            "engulfing_trend_combo": fam.isin("A", "C", "G") & c("engulfing"),
-            "piercing_variant_b_combo": (fam == "B") & c("piercing_variant"),
-        }
-    )
+    return _with_combos(signals, flags_as_of(candles, tuple(x for x in SHAPES if x != "marubozu_basic")))

@@ -91,7 +91,7 @@ def factor_regimes(factors: DataFrame, window: int = 60, vix_q: float = 0.90, fl
         {
             "_vix": F.percentile("vix_close", F.lit(vix_q)).over(trailing),
             "_flow": F.percentile("net_flow", F.lit(flow_q)).over(trailing),
-            "_oil": pct_change(c("oil_close"), F.lag("oil_close", 5).over(Window.orderBy("date"))),
+            "_oil": pct_change(c("oil_close"), F.lag("oil_close", 1).over(Window.orderBy("date"))),
         }
     )
     return limits.select(

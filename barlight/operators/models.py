@@ -31,9 +31,9 @@ def prepare(df: DataFrame, features: tuple) -> DataFrame:
     return stats.select("feature", "median", "mean", F.when(c("s") <= 1e-8, F.lit(1.0)).otherwise(c("s")).alias("std"))
 
 
-def design(df: DataFrame, features: tuple, stats: DataFrame, families: bool = True) -> DataFrame:
-    """Column *features*: standardised numbers followed by the family one-hot."""
-    p = {r["feature"]: r for r in stats.collect()}  # one row per feature
+def design(df: DataFrame, features: tuple, stats: dict, families: bool = True) -> DataFrame:
+    """Column *features*: standardised numbers followed by the family one-hot; *stats* holds one row per feature."""
+    p = stats
     cols = {f"_x_{f}": (F.coalesce(c(f).cast("double"), F.lit(p[f]["median"])) - p[f]["mean"]) / p[f]["std"] for f in features if f in p}
     if families:
         cols |= {f"_f_{x}": as_int(F.upper("pattern_family") == x).cast("double") for x in FAMILIES}
@@ -41,23 +41,22 @@ def design(df: DataFrame, features: tuple, stats: DataFrame, families: bool = Tr
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(out).drop(*cols)
 
 
-def balance(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
-    """Weight that gives both classes equal mass, times the row weight."""
-    w = F.coalesce(c(weight), F.lit(0.0)) if weight else F.lit(1.0)
-    base = df.withColumn("_w0", w)
-    mass = base.agg(F.sum("_w0").alias("t"), F.sum(F.when(c(label) == 1, c("_w0")).otherwise(0.0)).alias("p")).first()
-    total, pos = float(mass["t"] or 0.0), float(mass["p"] or 0.0)
-    up, down = (total / (2 * pos) if pos > 0 else 1.0), (total / (2 * (total - pos)) if total > pos else 1.0)
-    return base.withColumn("model_weight", c("_w0") * F.when(c(label) == 1, up).otherwise(down)).drop("_w0")
+def balance(df: DataFrame, label: str, weight: str | None = None) -> tuple[DataFrame, int]:
+    """Weight from the class counts, n / (2 n of the class), times the row weight; and the number of rows n."""
+    w = F.greatest(F.coalesce(c(weight), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    seen = df.agg(F.count("*").alias("n"), F.count_if(c(label) == 1).alias("p")).first()
+    n, pos = seen["n"], seen["p"]
+    up, down = n / (2.0 * max(1, pos)), n / (2.0 * max(1, n - pos))
+    return df.withColumn("model_weight", w * F.when(c(label) == 1, up).otherwise(down)), n
 
 
 def isotonic_steps(scored: DataFrame, score: str, label: str, weight: str | None = None) -> list[tuple[float, float]]:
-    """Pool-adjacent-violators steps (upper bound, value).
+    """Pool-adjacent-violators steps (upper bound, value) over the exact scores.
 
-    Scores are first pooled to four digits, so the fit sees at most ten thousand points however many rows there are.
+    Equal scores are counted first; the fit pools each range slice of the distinct scores in its task, and then the slices' blocks.
     """
     w = c(weight) if weight else F.lit(1.0)
-    pooled = scored.groupBy(F.round(score, 4).alias("x")).agg(F.sum(w).alias("w"), (F.sum(w * c(label)) / F.sum(w)).alias("y")).filter(c("w") > 0)
+    pooled = scored.groupBy(c(score).alias("x")).agg(F.sum(w).alias("w"), (F.sum(w * c(label)) / F.sum(w)).alias("y")).filter(c("w") > 0)
     model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(pooled)
     bounds, values = model.boundaries.toArray(), model.predictions.toArray()
     steps: dict[float, float] = {}
@@ -75,7 +74,7 @@ class Calibrated:
     """A fitted classifier with its feature statistics and calibration steps."""
 
     model: object
-    stats: DataFrame
+    stats: dict
     features: tuple
     families: bool
     steps: list
@@ -84,16 +83,20 @@ class Calibrated:
     def score(self, df: DataFrame, name: str) -> DataFrame:
         out = self.model.transform(design(df, self.features, self.stats, self.families))
         raw = self._raw()
-        return out.withColumn(name, step_calibration(F.round(raw, 4), self.steps)).drop("features", "rawPrediction", "probability", "prediction")
+        return out.withColumn(name, step_calibration(raw, self.steps)).drop("features", "rawPrediction", "probability", "prediction")
 
     def _raw(self) -> Column:
         return 1.0 / (1.0 + F.exp(-vector_to_array("rawPrediction")[1])) if self.margin else probability()
 
 
-def estimator(kind: str, label: str):
+L2 = 0.5
+
+
+def estimator(kind: str, label: str, rows: int):
+    """An unfitted classifier; the logistic penalty is L2 over the number of rows, on a loss averaged over the weights."""
     common = {"featuresCol": "features", "labelCol": label, "weightCol": "model_weight"}
     if kind == "logistic":
-        return LogisticRegression(regParam=0.01, elasticNetParam=0.0, standardization=False, maxIter=200, **common)
+        return LogisticRegression(regParam=L2 / max(1, rows), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10, **common)
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=400, maxDepth=8, minInstancesPerNode=8, featureSubsetStrategy="sqrt", seed=42, **common)
     if kind == "gbt":
@@ -104,10 +107,14 @@ def estimator(kind: str, label: str):
 
 
 def fit(df: DataFrame, label: str, features: tuple, kind: str = "logistic", families: bool = True, weight: str | None = None, **params) -> Calibrated:
-    stats = prepare(df, features).persist()
-    ready = balance(design(df, features, stats, families), label, weight).persist()
+    if absent := [f for f in features if f not in df.columns]:
+        raise ValueError(f"features not in the training rows: {absent}")
+    stats = {r["feature"]: r for r in prepare(df, features).collect()}  # one row per feature
+    ready, rows = balance(design(df, features, stats, families), label, weight)
+    ready = ready.persist()
     try:
-        model = estimator(kind, label).setParams(**params).fit(ready) if params else estimator(kind, label).fit(ready)
+        untrained = estimator(kind, label, rows)
+        model = (untrained.setParams(**params) if params else untrained).fit(ready)
         out = Calibrated(model, stats, features, families, [], margin=kind == "margin")
         scored = model.transform(ready).withColumn("_p", out._raw())
         out.steps = isotonic_steps(scored, "_p", label, weight)

@@ -60,11 +60,18 @@ def penalty_features(signals: DataFrame, lookback: int = 20) -> DataFrame:
     ).drop("_cvh", "_c20", "_gaps")
 
 
-def _bucket_index(buckets: DataFrame) -> Column:
-    """All buckets as one map keyed feature|family: at most features x families x quantiles entries."""
+def _with_buckets(signals: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Signals with their buckets as one map keyed feature|family, per lookback where both tables know one.
+
+    At most lookbacks rows of features x families x quantiles entries, joined once.
+    """
+    keys = ["lookback"] if "lookback" in signals.columns and "lookback" in buckets.columns else []
     entry = F.struct("lower", "upper", "include_upper", "penalty")
-    per_key = buckets.groupBy(F.concat_ws("|", "feature", "family").alias("k")).agg(F.collect_list(entry).alias("v"))
-    return per_key.agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
+    per_key = buckets.groupBy(*keys, F.concat_ws("|", "feature", "family").alias("k")).agg(F.array_sort(F.collect_list(entry)).alias("v"))
+    index = per_key.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_index"))
+    if not keys:
+        keys, signals, index = ["_all"], signals.withColumn("_all", F.lit(0)), index.withColumn("_all", F.lit(0))
+    return signals.join(F.broadcast(index), keys, "left").drop("_all")
 
 
 def _lookup(feature: str, index: Column) -> Column:
@@ -78,7 +85,7 @@ def _lookup(feature: str, index: Column) -> Column:
 def apply_penalties(signals: DataFrame, buckets: DataFrame) -> DataFrame:
     """Sum bucket penalties per group; a family without its own buckets uses the global ones; replay is idempotent."""
     old = F.coalesce("score_penalty_total", F.lit(0.0)) if "score_penalty_total" in signals.columns else F.lit(0.0)
-    out = signals.withColumn("_base", F.coalesce("signal_score", F.lit(0.0)) - old).withColumn("_index", _bucket_index(buckets))
+    out = _with_buckets(signals.withColumn("_base", F.coalesce("signal_score", F.lit(0.0)) - old), buckets)
     parts = {g: sum((_lookup(f, c("_index")) for f, owner in FEATURES.items() if owner == g), F.lit(0.0)) for g in ("crowding", "extension", "gap_shock")}
     out = out.withColumns({f"score_penalty_{g}": rounded(v, 2) for g, v in parts.items()})
     total = rounded(c("score_penalty_crowding") + c("score_penalty_extension") + c("score_penalty_gap_shock"), 2)

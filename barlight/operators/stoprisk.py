@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barlight.config import FAMILIES, StopRiskPolicy
+from barlight.config import StopRiskPolicy
 from barlight.functions.columns import as_int, clip, pct_change, rounded
 from barlight.functions.ranks import quantiles
 
 c = F.col
+# Column names of the model artifacts, and which of them each preset uses.
 SCORE_FEATURES = ("signal_score", "score_trend", "score_setup", "score_volume", "score_rsi", "score_risk", "score_pattern")
 BONUS_FEATURES = ("ma_slope_bonus", "pattern_bonus", "score_penalty_total", "consensus_count")
 ROW_FEATURES = (
@@ -72,10 +73,9 @@ def step_calibration(p: Column, steps: list[tuple[float, float]]) -> Column:
     """Value of the first step whose upper bound is at least p; beyond the last bound the last value."""
     if not steps:
         return p
-    out = F.lit(float(steps[-1][1]))
-    for upper, value in reversed(steps):
-        out = F.when(p <= upper, F.lit(float(value))).otherwise(out)
-    return F.when(p.isNotNull(), out)
+    table = F.array(*[F.struct(F.lit(float(upper)).alias("upper"), F.lit(float(value)).alias("value")) for upper, value in steps])
+    first = F.try_element_at(F.filter(table, lambda s: p <= s["upper"]), F.lit(1))
+    return F.when(p.isNotNull(), F.coalesce(first["value"], F.lit(float(steps[-1][1]))))
 
 
 def risk_penalty(risk: Column, policy: StopRiskPolicy = StopRiskPolicy()) -> Column:
@@ -101,7 +101,3 @@ def apply_risk(signals: DataFrame, policy: StopRiskPolicy = StopRiskPolicy()) ->
     return out.withColumns(
         {"signal_score_pre_stop_risk_penalty": rounded(c("_base"), 4), "signal_score": rounded(capped, 1)}
     ).drop("_base")
-
-
-def family_levels() -> tuple[str, ...]:
-    return FAMILIES

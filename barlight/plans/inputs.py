@@ -3,7 +3,8 @@ as a deployment would keep them between its steps."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,27 @@ from barlight.session import durable
 from barlight.sources import derived
 from barlight.sources.derived import table
 
-plan_once = lru_cache(maxsize=64)
+REMEMBERED: list[Callable] = []
+
+
+def plan_once(fn):
+    """Remember the plan for each running application and input folder; end_run() forgets it with the tables it reads."""
+
+    @lru_cache(maxsize=64)
+    def made(application: str, spark: SparkSession, sf: str) -> DataFrame:
+        return fn(spark, sf)
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return made(spark.sparkContext.applicationId, spark, sf)
+
+    REMEMBERED.append(made.cache_clear)
+    return run
+
+
+def forget() -> None:
+    for clear in REMEMBERED:
+        clear()
 
 
 @plan_once
@@ -72,9 +93,9 @@ def factors(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan_once
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Company events as a hand-kept list: large shipments, untidy type names, load order in seq."""
+    """Company events as a hand-kept list: every shipment, untidy type names, load order in seq."""
     kind = F.when(F.col("l_returnflag") == "R", " Earning ").when(F.col("l_returnflag") == "A", "DIV").otherwise("split")
-    return table(spark, sf, "lineitem").filter(F.col("l_quantity") >= 45).select(
+    return table(spark, sf, "lineitem").select(
         F.concat(F.lit(" s"), F.col("l_suppkey").cast("string")).alias("ticker"),
         F.to_date("l_shipdate").alias("event_date"),
         kind.alias("event_type"),

@@ -337,7 +337,7 @@ oracle("cdl_marubozu", "select ticker, date, marubozu_basic, marubozu from q_can
 oracle("cdl_combos", """
 select s.signal_date, s.ticker, s.pattern, s.pattern_family = 'A' and c.hammer as confirmed_hammer_a,
   s.pattern_family in ('A', 'C', 'G') and c.engulfing as engulfing_trend_combo, s.pattern_family = 'B' and c.piercing_variant as piercing_variant_b_combo
-from q_sig s join (select ticker, date, hammer, engulfing, piercing_variant from q_candle) c on c.ticker = s.ticker and c.date = s.signal_date""")
+from q_sig s join (select ticker, date, max(hammer::int) over (partition by ticker order by date rows 1 preceding) = 1 as hammer, engulfing, piercing_variant from q_candle) c on c.ticker = s.ticker and c.date = s.signal_date""")
 oracle("cdl_scan_shapes", """
 with l as (select *, row_number() over (partition by ticker order by date desc) as back from q_candle)
 select ticker, date, shape, close > sma50 as above_sma50, close > sma200 as above_sma200 from (

@@ -75,9 +75,9 @@ select feature, {r('any_value(med)', 6)} as median, {r('avg(coalesce(x, med))',
   case when stddev_pop(coalesce(x, med)) <= 1e-8 then 1 else {r('stddev_pop(coalesce(x, med))', 6)} end::double as std from l join m using (feature) group by 1""")
 # Isotonic fit in closed form: the largest, over starts, of the smallest mean of any run from there through the point.
 oracle("md_isotonic", f"""
-with p as (select round(signal_score / 100, 4) as x, count(*) as w, sum(st_hit_target_7d) as s from q_st_trade group by 1),
+with p as (select signal_score / 100 as x, count(*) as w, sum(st_hit_target_7d) as s from q_st_trade group by 1),
 i as (select x, row_number() over (order by x) as i, sum(w) over (order by x) as cw, sum(s) over (order by x) as cs, w, s from p),
 m as (select a.i as j, b.i as k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)::double as mean from i a join i b on b.i >= a.i),
 n as (select j, k, min(mean) over (partition by j order by k desc) as low from m),
 f as (select k as i, max(low) as v from n group by 1)
-select {K}, {r('v', 6)} as calibrated from q_st_trade join i on x = round(signal_score / 100, 4) join f using (i)""")
+select {K}, {r('v', 6)} as calibrated from q_st_trade join i on x = signal_score / 100 join f using (i)""")

@@ -75,8 +75,8 @@ with k as (select *, row_number() over (partition by mode order by signal_score
 d as (select mode, min((lo - pk) / pk * 100) as dd from (select mode, lo, max(hi) over (partition by mode order by signal_date) as pk from (
   select mode, signal_date, max(exit_price) as hi, min(exit_price) as lo from q_mode_rows group by 1, 2)) group by 1)
 select k.mode, count(*)::bigint as total_signals, sum(win) filter (where rk <= 1)::bigint as top1_wins, count(*) filter (where rk <= 1)::bigint as top1_total,
-  sum(win) filter (where rk <= 3)::bigint as top3_wins, count(*) filter (where rk <= 3)::bigint as top3_total, {r('avg(win) filter (where rk <= 1) * 100', 2)} as top1_win_pct,
-  {r('avg(win) filter (where rk <= 3) * 100', 2)} as top3_win_pct, {r('avg((exit_price <= stop_price)::int) * 100', 2)} as stop_breach_pct, {r('any_value(dd)', 2)} as max_drawdown_pct
+  sum(win) filter (where rk <= 3)::bigint as top3_wins, count(*) filter (where rk <= 3)::bigint as top3_total, {r('sum(win) filter (where rk <= 1) / count(*) filter (where rk <= 1)::double * 100', 2)} as top1_win_pct,
+  {r('sum(win) filter (where rk <= 3) / count(*) filter (where rk <= 3)::double * 100', 2)} as top3_win_pct, {r('avg(coalesce((exit_price <= stop_price)::int, 0)) * 100', 2)} as stop_breach_pct, {r('any_value(dd)', 2)} as max_drawdown_pct
 from k join d using (mode) group by 1""")
 oracle("ev_top_k_winrate", "from q_topk")
 oracle("ev_mode_gates", """

@@ -137,7 +137,7 @@ select month, st as start_capital, trades, {r('inv', 2)} as invested, {r('greate
 oracle("pos_yearly", f"""
 with y as (select year(exit_date)::bigint as year, sum(pnl) as p from q_port where status <> 'holding' group by 1),
 s as (select *, 100000 + coalesce(sum(p) over (order by year rows between unbounded preceding and 1 preceding), 0) as st from y)
-select year, {r('st', 2)} as starting_capital, {r('p', 2)} as realized_pnl, {r('st + p', 2)} as ending_capital, {r('p / st * 100', 3)} as realized_return_pct from s""")
+select year, {r('st', 2)} as starting_capital, {r('p', 2)} as realized_pnl, {r('st + p', 2)} as ending_capital, case when st > 0 then {r('p / st * 100', 3)} else 0 end::double as realized_return_pct from s""")
 oracle("pos_score_buckets", f"""
 with b as (select range as i from range(10)),
 g as (select least(floor(greatest(least(signal_score, 100), 0) / 10), 9)::bigint as i, * from q_port)

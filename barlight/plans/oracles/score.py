@@ -206,7 +206,7 @@ select {K}, coalesce(bool_or(event_type = 'earnings'), false) as within_earnings
 from j group by 1, 2, 3""")
 oracle("cat_event_window", "from q_ev")
 cte("q_reg", """
-with n as (select *, row_number() over (order by date) as i, (oil_close / lag(oil_close, 5) over (order by date) - 1) * 100 as oil from q_factors)
+with n as (select *, row_number() over (order by date) as i, (oil_close / lag(oil_close, 1) over (order by date) - 1) * 100 as oil from q_factors)
 select a.date, a.vix_close > quantile_cont(b.vix_close, 0.9) as vix_regime_high, a.net_flow < quantile_cont(b.net_flow, 0.25) as flow_regime_weak,
   coalesce(a.oil < -5, false) as energy_regime_shock from n a join n b on b.i between a.i - 59 and a.i group by a.date, a.vix_close, a.net_flow, a.oil""")
 oracle("cat_regimes", "from q_reg")

@@ -12,7 +12,7 @@ cte("q_days", "select distinct cast(o_orderdate as date) as date from orders whe
 cte("q_events", """
 select 'S' || l_suppkey as ticker, cast(l_shipdate as date) as event_date,
   case l_returnflag when 'R' then 'earnings' when 'A' then 'dividend' end as event_type,
-  max_by(l_discount, l_orderkey * 10 + l_linenumber) as amount from lineitem where l_quantity >= 45 and l_returnflag in ('R', 'A') group by 1, 2, 3""")
+  max_by(l_discount, l_orderkey * 10 + l_linenumber) as amount from lineitem where l_returnflag in ('R', 'A') group by 1, 2, 3""")
 cte("q_snap", """
 select e.*, (select max(date) from q_days d where d.date <= e.event_date) as lo, (select min(date) from q_days d where d.date >= e.event_date) as hi
 from (select distinct event_date from q_events) e""")
@@ -35,7 +35,7 @@ oracle("src_manual_events", """
 select ticker, coalesce(case when lo = hi then lo when hi is null then lo when lo is null then hi when event_date - lo < hi - event_date then lo else hi end, event_date) as event_date,
   event_type, max_by(amount, seq) as amount from (
   select 'S' || l_suppkey as ticker, cast(l_shipdate as date) as event_date, l_discount as amount, l_orderkey * 10 + l_linenumber as seq,
-    case l_returnflag when 'R' then 'earnings' else 'dividend' end as event_type from lineitem where l_quantity >= 45 and l_returnflag in ('R', 'A'))
+    case l_returnflag when 'R' then 'earnings' else 'dividend' end as event_type from lineitem where l_returnflag in ('R', 'A'))
 join q_snap using (event_date) group by 1, 2, 3""")
 oracle("sink_table", f"select month, count(*)::bigint as n, {r('sum(close)', 2)} as total from (select strftime(date, '%Y-%m') as month, close from q_bars) group by 1")
 oracle("upsert_bars", """
@@ -50,7 +50,7 @@ select cast(o_orderdate as date) as buy_signal_date, 'C' || o_custkey as ticker,
   min(o_orderkey)::bigint as load_seq from orders group by 1, 2, 3""")
 oracle("merge_factors", """
 select coalesce(f.date, n.date) as date, f.vix_close, coalesce(n.v, f.net_flow) as net_flow from q_factors f
-full join (select cast(l_shipdate as date) as date, round(sum(l_quantity), 2) as v from lineitem where l_returnflag = 'N' group by 1) n on n.date = f.date""")
+full join (select cast(l_shipdate as date) as date, round(sum(l_quantity), 2) as v from lineitem group by 1) n on n.date = f.date""")
 oracle("snap_trading_day", """
 select event_date, case when lo = hi then lo when hi is null then lo when lo is null then hi when event_date - lo < hi - event_date then lo else hi end as nearest,
   (select max(date) from q_days d where d.date < e.event_date) as before, hi as after from q_snap e""")

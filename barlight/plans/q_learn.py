@@ -150,7 +150,7 @@ def md_isotonic(spark, sf):
     """Calibration steps of a single score."""
     rows = st_rows(spark, sf).withColumn("p", c("signal_score") / 100.0)
     steps = models.isotonic_steps(rows, "p", "st_hit_target_7d")
-    return rows.select(*K, rounded(stoprisk.step_calibration(F.round("p", 4), steps), 6).alias("calibrated"))
+    return rows.select(*K, rounded(stoprisk.step_calibration(c("p"), steps), 6).alias("calibrated"))
 
 
 @query

@@ -100,9 +100,9 @@ def src_manual_events(spark, sf):
 @query
 def sink_table(spark, sf):
     """Write bars partitioned by month, read them back through the same schema."""
-    from barlight.session import checkpoint_folder
+    from barlight.session import run_folder
 
-    path = f"{checkpoint_folder(spark)}/bars-{uuid.uuid4().hex}.parquet"
+    path = f"{run_folder(spark)}/bars-{uuid.uuid4().hex}.parquet"
     upserts.write_table(inputs.bars(spark, sf).withColumn("month", F.date_format("date", "yyyy-MM")), path, "month")
     back = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(path)
     return back.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(
@@ -140,7 +140,7 @@ def upsert_sells(spark, sf):
 
 @query
 def merge_factors(spark, sf):
-    new = inputs.table(spark, sf, "lineitem").filter(c("l_returnflag") == "N").groupBy(F.to_date("l_shipdate").alias("date"))
+    new = inputs.table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date"))
     flows = new.agg(F.round(F.sum("l_quantity"), 2).alias("net_flow"))
     return upserts.merge_factors(inputs.factors(spark, sf).select("date", "vix_close", "net_flow"), flows)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barlight.operators import patterns, positions
 from barlight.plans import inputs
 from barlight.plans.queries import query
-from barlight.session import checkpoint_folder
+from barlight.session import run_folder
 from barlight.sources.upserts import keep_last
 from barlight.streaming.bars import run_to_table, ticks_to_bars
 from barlight.streaming.incremental import Store, incremental_scan, run_available, track_stream
@@ -19,7 +19,7 @@ K = ("ticker", "signal_date", "pattern")
 
 
 def _folder(spark):
-    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query

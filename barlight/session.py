@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,15 +29,37 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for cut points and hand-over tables: the session's own setting, else a temporary one."""
+    """The shared folder for cut points and hand-over tables, as the session names it in spark.checkpoint.dir.
+
+    A session on one machine that names none gets a temporary folder, which goes when the process ends; on a cluster that is an error,
+    since executors could not read what the driver's machine holds.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barlight-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="barlight-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its hand-over tables."""
+    return f"{checkpoint_folder(spark)}/barlight-{spark.sparkContext.applicationId}"
+
+
+def end_run(spark: SparkSession) -> None:
+    """Delete this application's hand-over tables and forget the plans that read them."""
+    from barlight.plans import inputs
+
+    inputs.forget()
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Hand *df* over as a written table in the checkpoint folder.
 
@@ -43,6 +67,6 @@ def durable(df: DataFrame) -> DataFrame:
     the true size. A lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/barlight-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

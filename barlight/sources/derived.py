@@ -9,12 +9,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def window_partitions(spark: SparkSession) -> int:
-    """Window work is bound by processor time, not bytes, so its partitions are not coalesced by size: the session's
-    shuffle partitions, or eight per core where a small machine kept a large default."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
-
-
 def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One OHLCV bar per (ticker, date); the grouping pre-aggregates before its shuffle, whatever the key skew."""
     daily = (
@@ -29,7 +23,7 @@ def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("l_discount").alias("hi"),
             F.max("l_tax").alias("lo"),
         )
-        .repartition(window_partitions(spark), "ticker")
+        .repartition("ticker")
     )
     whole = Window.partitionBy("ticker")
     ordered = Window.partitionBy("ticker").orderBy("date")

@@ -6,6 +6,7 @@ is idempotent. Nothing is kept in Python: history, signals and open positions ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,8 +18,18 @@ from barlight.operators.indicators import feature_table
 from barlight.sources.upserts import keep_last
 
 c = F.col
-# Bars before the first new one that any indicator can still feel: exponential averages fade below double precision.
-LOOKBACK_BARS = 640
+# The longest plain window of the feature table (a year of bars and its shift) and the slowest exponential average (Wilder 14 and MACD 26).
+LONGEST_WINDOW = 253
+SLOWEST_DECAY = 1.0 - 1.0 / 14.0
+
+
+def lookback_bars(cfg: Detection = COVERAGE_SCAN) -> int:
+    """Bars before the first new one that an indicator or detector can still feel.
+
+    Exponential averages fade below double precision; a detector looks back over its own window on top of the indicators' reach.
+    """
+    fade = math.ceil(math.log(2.0**-53) / math.log(SLOWEST_DECAY))
+    return max(LONGEST_WINDOW, fade) + max(cfg.breakout_days, cfg.base_lookback) + 2 * cfg.pivot_span + 1
 
 
 @dataclass(frozen=True)
@@ -39,7 +50,7 @@ class Store:
         return rows if upto is None else rows.filter(c("batch") <= upto)
 
 
-def relevant_history(stored: DataFrame, fresh: DataFrame, bars: int = LOOKBACK_BARS) -> DataFrame:
+def relevant_history(stored: DataFrame, fresh: DataFrame, bars: int) -> DataFrame:
     """Stored and new bars of the instruments that moved: everything new and the *bars* before it."""
     first = fresh.groupBy("ticker").agg(F.min("date").alias("_first"))
     keyed = keep_last(stored.join(first, "ticker"), ["ticker", "date"], "batch")
@@ -56,7 +67,7 @@ def incremental_scan(bar_store: Store, signal_store: Store, cfg: Detection = COV
         if batch.isEmpty():
             return
         bar_store.put(batch, batch_id)
-        history = relevant_history(bar_store.read(batch.schema, upto=batch_id), batch)
+        history = relevant_history(bar_store.read(batch.schema, upto=batch_id), batch, lookback_bars(cfg))
         signals = patterns.scan(feature_table(history, cfg), cfg, context=("bar_no",))
         fresh = batch.select("ticker", c("date").alias("signal_date")).distinct()
         signal_store.put(signals.drop("bar_no").join(fresh, ["ticker", "signal_date"], "left_semi"), batch_id)
@@ -78,19 +89,27 @@ def advance_positions(open_positions: DataFrame, bars: DataFrame, cfg: Backtest
 
 
 def track_stream(signals: DataFrame, positions: Store, cfg: Backtest = Backtest(), expire_days: int | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: positions carried from the batch before plus signals dated in this batch meet its bars."""
+    """foreachBatch body: positions carried from the batch before plus signals not seen yet meet this batch's bars.
+
+    Every batch writes the state it leaves, an empty one the state it found. Signals dated up to the batch's last bar that no batch has opened
+    yet are opened, those dated between two deliveries and late ones included; bars delivered before a late signal are not looked at again.
+    """
 
     def body(batch: DataFrame, batch_id: int) -> None:
+        none = signals.limit(0).select(*POSITION)
+        schema = advance_positions(none, batch, cfg, expire_days).schema
+        carried, known = none, None
+        if batch_id > 0:
+            carried = positions.read(schema, only=batch_id - 1).filter(c("status") == "holding")
+            known = positions.read(schema, upto=batch_id - 1).select("ticker", "signal_date", "pattern").distinct()
         if batch.isEmpty():
+            positions.put(carried.select(schema.fieldNames()) if batch_id > 0 else advance_positions(none, batch, cfg, expire_days), batch_id)
             return
-        span = batch.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-        fresh = signals.filter(c("signal_date").between(span.select("a").scalar(), span.select("b").scalar())).select(*POSITION)
-        carried = fresh
-        if batch_id > 0:
-            schema = advance_positions(fresh, batch, cfg, expire_days).schema
-            before = positions.read(schema, only=batch_id - 1).filter(c("status") == "holding")
-            carried = before.select(*POSITION).unionByName(fresh)
-        positions.put(advance_positions(carried, batch, cfg, expire_days), batch_id)
+        last = batch.agg(F.max("date").alias("b"))
+        fresh = signals.filter(c("signal_date") <= last.scalar()).select(*POSITION)
+        if known is not None:
+            fresh = fresh.join(known, ["ticker", "signal_date", "pattern"], "left_anti")
+        positions.put(advance_positions(carried.select(*POSITION).unionByName(fresh), batch, cfg, expire_days), batch_id)
 
     return body
 

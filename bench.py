@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from barlight.session import local_session
+from barlight.session import end_run, local_session
 
 # From the raw table to the result, nothing stored beforehand.
 WHOLE = ("ind_feature_table", "cdl_engulfing_confirmed", "pat_multi", "mk_train", "rg_breadth", "upsert_bars", "sel_allocate", "str_bars")
@@ -41,6 +41,7 @@ def main() -> None:
     scale = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": scale}))
     sys.stdout.flush()
+    end_run(spark)
     spark.stop()
 
 

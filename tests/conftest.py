@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from barlight.session import local_session  # noqa: E402
+from barlight.session import end_run, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,4 +15,5 @@ def spark():
     session = local_session("8")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    end_run(session)
     session.stop()
