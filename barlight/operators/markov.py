@@ -39,9 +39,11 @@ def recency_weight(date: Column, latest: Column, half_life_months: float) -> Col
 def train(states: DataFrame, policy: MarkovPolicy = MarkovPolicy()) -> DataFrame:
     """Weighted transition probabilities to the state *horizon* bars later: state, next_state, weight, prob."""
     moves = states.withColumn("next_state", F.lead("state", policy.horizon).over(by_ticker())).filter(c("next_state").isNotNull())
-    latest = moves.agg(F.max("date")).scalar()
-    weighted = moves.withColumn("w", recency_weight(c("date"), latest, policy.half_life_months))
-    counts = weighted.groupBy("state", "next_state").agg(F.sum("w").alias("weight"))
+    # Weights against a fixed day differ from those against the latest one by a factor, so one pass finds both.
+    rate = -0.6931471805599453 / policy.half_life_months / 30.4375 if policy.half_life_months > 0 else 0.0
+    age = lambda day: F.datediff(F.lit("2000-01-01").cast("date"), day)
+    sums = moves.groupBy("state", "next_state").agg(F.sum(F.exp(rate * age(c("date")))).alias("_w"), F.max("date").alias("_d"))
+    counts = sums.withColumn("weight", c("_w") / F.exp(rate * age(F.max("_d").over(Window.partitionBy(F.lit(1))))))
     total = F.sum("weight").over(Window.partitionBy("state"))
     rows = counts.withColumn("total", total).filter(c("total") >= policy.min_transitions)
     return rows.select("state", "next_state", rounded(c("weight"), 4).alias("weight"), rounded(c("weight") / c("total"), 6).alias("prob"))

@@ -123,6 +123,20 @@ def fit(df: DataFrame, label: str, features: tuple, kind: str = "logistic", fami
         ready.unpersist()
 
 
+def optimality(df: DataFrame, label: str, features: tuple, families: bool = True, weight: str | None = None, tolerance: float = 1e-4) -> tuple[int, int, bool]:
+    """Rows, positives, and whether the gradient of the penalised loss vanishes at the logistic fit: mean of w (p - y) x plus L2 / n times b."""
+    fitted = fit(df, label, features, "logistic", families, weight)
+    ready, n = balance(design(df, features, fitted.stats, families), label, weight)
+    scored = fitted.model.transform(ready)
+    x, rest = vector_to_array("features"), c("model_weight") * (probability() - c(label))
+    beta = fitted.model.coefficients.toArray()
+    sums = scored.agg(
+        F.sum("model_weight").alias("w"), F.sum(rest).alias("b"), F.count_if(c(label) == 1).alias("p"), *[F.sum(rest * x[i]).alias(f"g{i}") for i in range(len(beta))]
+    ).first()
+    gradient = [sums["b"] / sums["w"], *(sums[f"g{i}"] / sums["w"] + L2 / max(1, n) * b for i, b in enumerate(beta))]
+    return n, sums["p"], bool(max(map(abs, gradient)) < tolerance)
+
+
 def coverage(df: DataFrame, features: tuple) -> dict[str, float]:
     row = df.agg(*[F.avg(c(f).isNotNull().cast("double")).alias(f) for f in features]).first()
     return {f: float(row[f] or 0.0) for f in features}

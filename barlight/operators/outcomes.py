@@ -155,7 +155,7 @@ def coverage_target(t: DataFrame, cfg: Outcome = COVERAGE) -> DataFrame:
 
 
 # ---- unbounded scans ----------------------------------------------------------------------------------------------
-def _first_touch(signals: DataFrame, bars: DataFrame, target: Column, stop: Column | None, by_close: bool, lockout_days: int) -> DataFrame:
+def _first_touch(signals: DataFrame, bars: DataFrame, target: Column, stop: Column | None, by_close: bool, lockout_days: int, key: tuple = KEY) -> DataFrame:
     """First later bar at or beyond target (or, once the lockout is over, closing at or below stop)."""
     b = _blocked(bars)
     near = (lockout_days + BLOCK - 1) // BLOCK + 1
@@ -166,12 +166,12 @@ def _first_touch(signals: DataFrame, bars: DataFrame, target: Column, stop: Colu
     )
     reach = (c("_top") >= c("_target")) | F.coalesce(c("_bottom") <= c("_stop"), F.lit(False))
     far = (
-        sig.select(*KEY, "_target", "_stop", probe_until.alias("_u"))
+        sig.select(*key, "_target", "_stop", probe_until.alias("_u"))
         .join(extremes, (c("ticker") == c("_ticker")) & (c("_b") > c("_u")) & reach)
-        .groupBy(*KEY)
+        .groupBy(*key)
         .agg(F.min("_b").alias("_far"))
     )
-    probes = sig.join(far, list(KEY), "left").withColumn(
+    probes = sig.join(far, list(key), "left").withColumn(
         "_block", F.explode(F.concat(F.sequence(_block_of(c("bar_no") + 1), probe_until), F.array_compact(F.array("_far"))))
     )
     bb = b.withColumnsRenamed({"ticker": "_ticker", "_block": "_b"})
@@ -179,8 +179,8 @@ def _first_touch(signals: DataFrame, bars: DataFrame, target: Column, stop: Colu
     hit_target = (c("_close") if by_close else c("_high")) >= c("_target")
     hit_stop = F.coalesce((c("_close") <= c("_stop")) & (F.datediff("_date", "signal_date") > lockout_days), F.lit(False))
     bar = F.struct(c("_no").alias("no"), c("_date").alias("date"), c("_close").alias("close"), hit_target.alias("target"))
-    first = probes.join(bb, on).filter(hit_target | hit_stop).groupBy(*KEY).agg(F.min_by(bar, c("_no")).alias("hit"))
-    return signals.join(first, list(KEY), "left")
+    first = probes.join(bb, on).filter(hit_target | hit_stop).groupBy(*key).agg(F.min_by(bar, c("_no")).alias("hit"))
+    return signals.join(first, list(key), "left")
 
 
 def sell_signals(signals: DataFrame, bars: DataFrame, target_pct: float = 6.0) -> DataFrame:
@@ -195,12 +195,15 @@ def sell_signals(signals: DataFrame, bars: DataFrame, target_pct: float = 6.0) -
     )
 
 
-def track(signals: DataFrame, bars: DataFrame, cfg: Backtest = Backtest()) -> DataFrame:
-    """Position of each signal: target by the high, stop by the close after the lockout, else still held."""
+def track(signals: DataFrame, bars: DataFrame, cfg: Backtest = Backtest(), scenario: tuple = ()) -> DataFrame:
+    """Position of each signal: target by the high, stop by the close after the lockout, else still held.
+
+    Signals may come once for each *scenario* (columns that tell the copies apart); a column target_pct goes before the configured target.
+    """
     held = c("hold_to_target_only") if "hold_to_target_only" in signals.columns else F.lit(False)
-    target = c("entry_price") * (1.0 + cfg.target_pct / 100.0)
+    target = c("entry_price") * (1.0 + (c("target_pct") if "target_pct" in scenario else F.lit(cfg.target_pct)) / 100.0)
     stop = F.coalesce("stop_price", c("entry_price") * (1.0 - cfg.stop_pct / 100.0))
-    out = _first_touch(signals, bars, target, F.when(~held, stop), False, cfg.lockout_days)
+    out = _first_touch(signals, bars, target, F.when(~held, stop), False, cfg.lockout_days, (*KEY, *scenario))
     last = bars.groupBy("ticker").agg(F.max_by("close", "date").alias("_close"), F.max("date").alias("_date"))
     out = out.join(last, "ticker", "left")
     later = c("_date") > c("signal_date")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -138,15 +138,12 @@ def score_buckets(view: DataFrame, score: str = "signal_score") -> DataFrame:
 def scenario_grid(signals: DataFrame, bars: DataFrame, targets: tuple, modes: tuple, min_scores: tuple, capitals: tuple) -> DataFrame:
     """Summary of every scenario: stop mode x target x minimum score x capital per trade.
 
-    Stop mode and target change the touches, so they multiply the scanned signals; score and capital only re-aggregate
-    the compact results. All scenarios share one grouped job.
+    Stop mode and target change the touches, so they multiply the signals and join their key; bars are read and numbered once. Score and
+    capital only re-aggregate the compact results.
     """
-    tracked = None
-    for mode in modes:
-        for target in targets:
-            part = oc.track(lab_stop(signals, mode), bars, replace(Backtest(), target_pct=float(target)))
-            part = part.withColumns({"stop_mode": F.lit(mode), "target_pct": F.lit(float(target))})
-            tracked = part if tracked is None else tracked.unionByName(part)
+    stops = [lab_stop(signals, mode).withColumn("stop_mode", F.lit(mode)) for mode in modes]
+    wanted = reduce(DataFrame.unionByName, stops).withColumn("target_pct", F.explode(F.array(*[F.lit(float(t)) for t in targets])))
+    tracked = oc.track(wanted, bars, Backtest(), ("stop_mode", "target_pct"))
     grid = F.array(*[F.struct(F.lit(float(s)).alias("s"), F.lit(float(k)).alias("k")) for s in min_scores for k in capitals])
     rows = tracked.withColumn("_g", F.explode(grid)).withColumns({"min_score": c("_g.s"), "capital": c("_g.k")}).filter(c("signal_score") >= c("min_score"))
     return summarize(value(rows, c("capital")), "stop_mode", "target_pct", "min_score", "capital")

@@ -69,6 +69,12 @@ def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     return durable(bars(spark, sf))
 
 
+@plan_once
+def stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table as a deployment keeps it next to the bars."""
+    return durable(features(spark, sf))
+
+
 @plan_once
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     """Stored signal history: the detection result as a written table."""

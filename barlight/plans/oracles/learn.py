@@ -81,3 +81,8 @@ m as (select a.i as j, b.i as k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)::doub
 n as (select j, k, min(mean) over (partition by j order by k desc) as low from m),
 f as (select k as i, max(low) as v from n group by 1)
 select {K}, {r('v', 6)} as calibrated from q_st_trade join i on x = signal_score / 100 join f using (i)""")
+oracle("md_logistic_optimum", "select count(*)::bigint as train_rows, sum(st_hit_target_7d)::bigint as positives, true as at_optimum from q_st_trade")
+oracle("md_stop_risk_presets", """
+select preset, families, count(*)::bigint as train_rows, sum(stop_before_target)::bigint as positives, true as at_optimum
+from q_hist, (select unnest(['full', 'scores_only', 'scores_plus_row_context', 'scores_plus_regime']) as preset) p, (select unnest([true, false]) as families) f
+where bars_available >= 30 group by all""")

@@ -232,3 +232,4 @@ oracle("cat_mode_rerank", f"select {K}, m.mode as mode, m.v as signal_score from
 DOT = clip("case when vh then -1.5 else 0 end + case when fw then -0.75 else 0 end + case when es then -3 else 0 end + case when within_earnings_window then 2 else 0 end "
            "+ case when within_dividend_window then 1 else 0 end + case when post_event_gap_risk then -4 else 0 end + 0.5 * event_proximity_score", "-8", "8")
 oracle("cat_penalty_apply", f"select {K}, {r(DOT, 4)} as catalyst_penalty, {r(clip(f'signal_score + {DOT}'), 1)} as signal_score from q_cat")
+oracle("rescore_full", f"select {K}, true as replay_equal, true as in_range from q_sig")

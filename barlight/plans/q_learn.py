@@ -6,12 +6,12 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from barlight.config import SHORT_TERM, Outcome
+from barlight.config import Outcome
 from barlight.functions.columns import rounded
 from barlight.operators import candles, models, outcomes as oc, stoprisk, training
 from barlight.operators.penalties import FEATURES
 from barlight.plans import inputs
-from barlight.plans.q_score import REGIME_FLAGS, catalytic, outcomes
+from barlight.plans.q_score import REGIME_FLAGS, SCORES, catalytic, outcomes, rescored_outcomes, st_rows
 from barlight.plans.queries import query
 from barlight.session import durable
 
@@ -107,18 +107,6 @@ def md_feature_prep(spark, sf):
     return out.select("feature", *[rounded(c(x), 6).alias(x) for x in ("median", "mean", "std")])
 
 
-SCORES = ("signal_score", "score_trend", "score_setup", "score_volume", "score_rsi", "score_risk", "ma_slope_bonus", "consensus_count")
-
-
-@inputs.plan_once
-def st_rows(spark, sf):
-    """Short-term labelled signals with a recency weight, kept as a table."""
-    s = inputs.signals(spark, sf).drop("target", "stop")
-    labelled = oc.model_trade(oc.touches(s, inputs.stored_bars(spark, sf), SHORT_TERM, row_stop=False))
-    labelled = labelled.withColumns({"return_pct": rounded(c("return_pct"), 4), "month": F.date_format("signal_date", "yyyy-MM")})
-    return durable(training.add_recency_weight(labelled))
-
-
 def _scored(spark, sf, kind, **params):
     rows = st_rows(spark, sf)
     fitted = models.fit(rows, "st_hit_target_7d", SCORES, kind, weight="sample_weight", **params)
@@ -155,15 +143,32 @@ def md_isotonic(spark, sf):
 
 @query
 def md_stop_risk(spark, sf):
-    """Four targets from the scores-only feature set."""
-    rows = outcomes(spark, sf).filter(c("bars_available") >= 1)
-    features = tuple(f for f in stoprisk.FEATURE_SETS["scores_only"] if f in rows.columns)
+    """Four targets from the scores-only feature set, fitted to signals whose whole horizon is known."""
+    rows = rescored_outcomes(spark, sf)
     out = rows
     for target, name in stoprisk.TARGETS.items():
-        out = models.fit(rows, target, features).score(out, name)
+        out = models.fit(rows, target, stoprisk.FEATURE_SETS["scores_only"]).score(out, name)
     return out.select(*K, *stoprisk.TARGETS.values())
 
 
+@query
+def md_stop_risk_presets(spark, sf):
+    """Every preset, with and without families: rows, positives and whether the fit is the optimum of its penalised loss."""
+    rows = rescored_outcomes(spark, sf)
+    facts = []
+    for preset, features in stoprisk.FEATURE_SETS.items():
+        for families in (True, False):
+            facts.append((preset, families, *models.optimality(rows, "stop_before_target", features, families)))
+    return spark.createDataFrame(facts, "preset string, families boolean, train_rows long, positives long, at_optimum boolean")
+
+
+@query
+def md_logistic_optimum(spark, sf):
+    """Rows, positives and whether the short-term logistic fit is the optimum of its penalised loss."""
+    facts = models.optimality(st_rows(spark, sf), "st_hit_target_7d", SCORES, True, "sample_weight")
+    return spark.createDataFrame([facts], "train_rows long, positives long, at_optimum boolean")
+
+
 @query
 def md_cat_ridge(spark, sf):
     labels = outcomes(spark, sf).select(*K, "win_flag")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barlight.config import SHORT_TERM, Outcome
 from barlight.functions.columns import rounded
-from barlight.operators import catalysts, markov, penalties, rescore as chain, scoring, stoprisk, stscore, training
+from barlight.operators import catalysts, markov, models, outcomes as oc, penalties, rescore as chain, scoring, stoprisk, stscore, training
 from barlight.plans import inputs
 from barlight.plans.queries import query
 from barlight.session import durable
@@ -37,9 +38,41 @@ def buckets(spark, sf):
     return durable(training.penalty_buckets(outcomes(spark, sf)))
 
 
+SCORES = ("signal_score", "score_trend", "score_setup", "score_volume", "score_rsi", "score_risk", "ma_slope_bonus", "consensus_count")
+
+
+@inputs.plan_once
+def st_rows(spark, sf):
+    """Short-term labelled signals with a recency weight, kept as a table."""
+    s = inputs.signals(spark, sf).drop("target", "stop")
+    labelled = oc.model_trade(oc.touches(s, inputs.stored_bars(spark, sf), SHORT_TERM, row_stop=False))
+    labelled = labelled.withColumns({"return_pct": rounded(c("return_pct"), 4), "month": F.date_format("signal_date", "yyyy-MM")})
+    return durable(training.add_recency_weight(labelled))
+
+
+@inputs.plan_once
+def short_term_models(spark, sf):
+    """Fitted models of the short-term blend."""
+    return {kind: models.fit(st_rows(spark, sf), "st_hit_target_7d", SCORES, kind, weight="sample_weight") for kind in ("logistic", "margin")}
+
+
+@inputs.plan_once
+def rescored_outcomes(spark, sf):
+    """Labels of signals whose whole horizon is known, with the columns the rescoring chain adds."""
+    scored = chain.rescore(inputs.signals(spark, sf), family_weights(spark, sf), buckets(spark, sf), transitions(spark, sf))
+    scored = stoprisk.join_breadth(scored, breadth(spark, sf)).select(*K, *stoprisk.FEATURE_SETS["full"])
+    labels = outcomes(spark, sf).filter(c("bars_available") >= Outcome().horizon).select(*K, "month", "pattern_family", *stoprisk.TARGETS)
+    return durable(labels.join(scored, list(K)))
+
+
+@inputs.plan_once
+def stop_risk_model(spark, sf):
+    return models.fit(rescored_outcomes(spark, sf), "stop_before_target", stoprisk.FEATURE_SETS["scores_only"])
+
+
 @inputs.plan_once
 def states(spark, sf):
-    return inputs.features(spark, sf).select("ticker", "date", markov.state().alias("state"))
+    return inputs.stored_features(spark, sf).select("ticker", "date", markov.state().alias("state"))
 
 
 @inputs.plan_once
@@ -49,7 +82,7 @@ def transitions(spark, sf):
 
 @inputs.plan_once
 def breadth(spark, sf):
-    return stoprisk.breadth(inputs.features(spark, sf))
+    return stoprisk.breadth(inputs.stored_features(spark, sf))
 
 
 @query
@@ -216,7 +249,7 @@ def st_boosters(spark, sf):
 
 @query
 def md_st_features(spark, sf):
-    f = stscore.intraday(stscore.forward_momentum(inputs.features(spark, sf)).withColumn("markov_state", markov.state()))
+    f = stscore.intraday(stscore.forward_momentum(inputs.stored_features(spark, sf)).withColumn("markov_state", markov.state()))
     keep = f.select("ticker", c("date").alias("signal_date"), "markov_state", "gap_intraday_pct", "volatility_pct", "momentum_1d_pct", "momentum_3d_pct", "momentum_5d_pct")
     return inputs.signals(spark, sf).select(*K).join(keep, ["ticker", "signal_date"])
 
@@ -229,6 +262,39 @@ def rescore_history(spark, sf):
     return twice.select(*K, "pattern_bonus", "lt_health_bonus", "score_penalty_total", "score_markov_adjustment", "signal_score")
 
 
+def _stop_risk(spark, sf):
+    fit = stop_risk_model(spark, sf)
+    return lambda df: stoprisk.apply_risk(fit.score(df, "signal_stop_risk"))
+
+
+def _short_term_score(spark, sf):
+    fits = short_term_models(spark, sf)
+
+    def score(df):
+        named = {kind: f"_p_{kind}" for kind in fits}
+        for kind, fit in fits.items():
+            df = fit.score(df, named[kind])
+        mix = stscore.blend({k: c(v) for k, v in named.items()}, stscore.blend_weights({"margin": 0.25, "gbt": 0.25}))
+        df = stscore.rank_uplift(df.withColumn("probability", mix).drop(*named.values()))
+        return stscore.apply_boosters(stoprisk.join_breadth(stscore.intraday(df), breadth(spark, sf)))
+
+    return score
+
+
+@query
+def rescore_full(spark, sf):
+    """The whole chain with fitted stop-risk and short-term models, and whether a replay over its output changes anything."""
+    args = (family_weights(spark, sf), buckets(spark, sf), transitions(spark, sf))
+    steps = {"stop_risk": _stop_risk(spark, sf), "short_term": _short_term_score(spark, sf)}
+    once = durable(chain.rescore(inputs.signals(spark, sf), *args, **steps))
+    twice = chain.rescore(once, *args, **steps)
+    scores = ("signal_score", "st_score", "signal_stop_risk")
+    again = twice.select(*K, *[c(x).alias(f"again_{x}") for x in scores])
+    same = lambda x: c(x).eqNullSafe(c(f"again_{x}"))
+    known = c("signal_stop_risk").between(0, 1) & c("st_score").between(0, 100) & c("signal_score").between(0, 100)
+    return once.join(again, list(K)).select(*K, (same("signal_score") & same("st_score") & same("signal_stop_risk")).alias("replay_equal"), known.alias("in_range"))
+
+
 # ---- catalysts ----------------------------------------------------------------------------------------------------
 @query
 def cat_factor_join(spark, sf):
