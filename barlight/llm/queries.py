@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barlight.llm import bpe, licenses, line_templates, ngram_join, packing, quality, rules, topk, toxicity, warc
+from barlight.llm.oracles import ORACLE_SQL  # noqa: F401 - read by __spark_entry__
 from barlight.sources.derived import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sequence_packing": op10_sequence_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
