@@ -7,7 +7,8 @@
    Pairs whose signatures rule the similarity out are dropped unread.
 4. Nodes that share a prefix shingle meet in a *tile* of one size band, if they are not connected yet. A tile of many nodes is cut into chunks,
    and pairs of chunks are tiles of their own. Bit counts of hashed signatures bound the overlap of a pair from above; what passes is
-   intersected exactly, as sorted arrays.
+   intersected exactly, as sorted arrays. First each tile gives out only as many pairs as would connect its nodes; the pairs that are
+   then still unconnected and untried are all held against each other.
 
 Shingles are 64-bit hashes. Sets are built again from their texts for those nodes alone that a pair asks for; texts are never shuffled.
 """
@@ -156,20 +157,20 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unconnected nodes in each tile whose signatures allow the similarity."""
+def tile_pairs(tiles: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of unconnected nodes in each tile whose signatures allow the similarity; *forest*: only as many as would connect them."""
+    marks = ("key", "band", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             held = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
-            ids = np.stack([held.column(c).to_numpy() for c in ("key", "band", "low", "high")], axis=1)
+            ids = np.stack([held.column(c).to_numpy() for c in marks], axis=1)
             cut = int(np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))[-1])  # the last tile may go on
             rest = held.slice(cut)
             yield from pairs_in(held.slice(0, cut), ids[:cut])
         if rest is not None and rest.num_rows:
-            ids = np.stack([rest.column(c).to_numpy() for c in ("key", "band", "low", "high")], axis=1)
-            yield from pairs_in(rest, ids)
+            yield from pairs_in(rest, np.stack([rest.column(c).to_numpy() for c in marks], axis=1))
 
     def pairs_in(held: pa.Table, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         if held.num_rows < 2:
@@ -178,6 +179,9 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
         bits = np.frombuffer(b"".join(held.column("signature").to_pylist()), np.uint64).reshape(len(n), -1)
         tile = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]).any(axis=1)]))
         across = ids[:, 2] != ids[:, 3]
+        _, label = np.unique(label, return_inverse=True)
+        _, group = np.unique(tile * (int(label.max()) + 1) + label, return_inverse=True)
+        root = np.arange(int(group.max()) + 1)  # groups of each tile that links, or pairs given out here, connect
         left, step = np.arange(len(n)), 0
         while len(left):
             step += 1
@@ -185,12 +189,14 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
             right = left + step
             near = (tile[left] == tile[right]) & (100 * n[left] >= percent * n[right])  # sizes ascend in a tile
             left, right = left[near], right[near]
-            ask = (label[left] != label[right]) & (home[left] | home[right]) & (~across[left] | (chunk[left] != chunk[right]))
+            ask = (root[group[left]] != root[group[right]]) & (home[left] | home[right]) & (~across[left] | (chunk[left] != chunk[right]))
             i, j = left[ask], right[ask]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             both = n[i] + n[j]
             bound = (both - apart) // 2
             i, j = (x[100 * bound >= percent * (both - bound)] for x in (i, j))
+            if forest and len(i):
+                i, j = connecting(root, group, i, j)
             if len(i):
                 a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -198,6 +204,43 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def connecting(root: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that join two groups; *root* is brought up to date."""
+    joined: dict[int, int] = {}
+    chosen = []
+
+    def top(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for k, (x, y) in enumerate(zip(root[group[i]].tolist(), root[group[j]].tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            joined[max(x, y)] = min(x, y)
+            chosen.append(k)
+    root[list(joined)] = [top(x) for x in joined]
+    root[:] = root[root]
+    return i[chosen], j[chosen]
+
+
+def open_tiles(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Rows of the tiles whose nodes are not all connected, sorted by tile and size within each partition."""
+    labelled = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    band = F.floor(F.log("n") / math.log(1 / (percent / 100 - 0.001)))
+    rows = durable(labelled.join(open_keys, "key").join(nodes.select("node", "n"), "node").withColumn("own", band))
+    rows = rows.withColumn("band", F.explode(F.array("own", F.col("own") - 1))).withColumn("home", F.col("own") == F.col("band"))
+    crowds = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE_ROWS).alias("chunks"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("home").alias("lives"))
+    crowds = crowds.filter("low != high and lives").select("key", "band", "chunks")
+    cut = rows.join(crowds, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    cut = cut.join(nodes.select("node", "signature"), "node")
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    tiles = cut.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    order = ["key", "band", "low", "high"]
+    return tiles.repartition(*order).sortWithinPartitions(*order, "n").select(*order, "n", "node", "label", "home", "chunk", "signature")
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and signatures allow to be alike."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
@@ -261,23 +304,12 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     label = components(first)
 
     posted = nodes.select("node", F.explode("keys").alias("key"))
-    shared = posted.join(posted.groupBy("key").count().filter("count > 1").select("key"), "key").select("key", "node")
-    labelled = durable(shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    facts = nodes.select("node", "n", "signature")
-    band = F.floor(F.log("n") / math.log(1 / (percent / 100 - 0.001)))
-    rows = durable(labelled.join(open_keys, "key").join(facts, "node").withColumn("own", band))
-    rows = rows.withColumn("band", F.explode(F.array("own", F.col("own") - 1))).withColumn("home", F.col("own") == F.col("band"))
-    crowds = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE_ROWS).alias("chunks"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("home").alias("lives"))
-    crowds = crowds.filter("low != high and lives").select("key", "band", "chunks")
-    cut = rows.join(crowds, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    tiles = cut.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
-    order = ["key", "band", "low", "high"]
-    tiles = tiles.repartition(*order).sortWithinPartitions(*order, "n").select(*order, "n", "node", "label", "home", "chunk", "signature")
-    pairs = durable(tile_pairs(tiles, percent).distinct())
-    more = alike(pairs, sets_of(docs, pairs, nodes, width), percent)
-    return members, durable(first.union(more))
+    shared = durable(posted.join(posted.groupBy("key").count().filter("count > 1").select("key"), "key").select("key", "node"))
+    tried = durable(tile_pairs(open_tiles(shared, nodes, label, percent), percent, forest=True).distinct())
+    second = durable(first.union(alike(tried, sets_of(docs, tried, nodes, width), percent)))
+    left = tile_pairs(open_tiles(shared, nodes, components(second), percent), percent, forest=False).distinct()
+    left = durable(left.join(tried, ["a", "b"], "left_anti"))
+    return members, durable(second.union(alike(left, sets_of(docs, left, nodes, width), percent)))
 
 
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
