@@ -29,11 +29,19 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def add_average_rank(df: DataFrame, value: str, name: str, keys: tuple = ()) -> DataFrame:
-    """Average-tie rank (1-based) of *value* and the group size as <name>_n."""
-    ranks = cumulative_counts(df, list(keys), value).select(
-        *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name), F.col("total").alias(f"{name}_n")
-    )
-    return df.join(ranks, [*keys, value], "left")
+    """Average-tie rank (1-based) of *value* and the group size as <name>_n.
+
+    Ranks of one group are joined back in two parts: values that hold more than a thousandth of the rows, of which there are fewer than a
+    thousand, are broadcast, so their rows stay where they are; the others meet their ranks by value.
+    """
+    ranks = durable(cumulative_counts(df, list(keys), value).select(
+        *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name), F.col("total").alias(f"{name}_n"), (F.col("n") * 1000 > F.col("total")).alias("_hot")
+    ))
+    if keys:
+        return df.join(ranks.drop("_hot"), [*keys, value], "left")
+    hot, cold = (ranks.filter(x).drop("_hot") for x in (F.col("_hot"), ~F.col("_hot")))
+    rest = df.join(F.broadcast(hot.select(value)), value, "left_anti").join(cold, value, "left")
+    return df.join(F.broadcast(hot), value).unionByName(rest)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -189,10 +189,6 @@ def pair_compare(summary: DataFrame) -> DataFrame:
     )
 
 
-def median_of(df: DataFrame, column: str) -> Column:
-    return quantiles(df, [], column, {"q": 0.5}).select("q").scalar()
-
-
 def score_histogram(rows: DataFrame, score: str, thresholds: tuple = (70, 72, 75, 80, 85, 90)) -> DataFrame:
     top = F.max_by(F.struct("ticker", "pattern"), F.struct(score, "signal_date", "ticker", "pattern"))
     return rows.filter(c(score).isNotNull()).agg(

@@ -142,10 +142,10 @@ def coverage(df: DataFrame, features: tuple) -> dict[str, float]:
     return {f: float(row[f] or 0.0) for f in features}
 
 
-def catalyst_ridge(df: DataFrame, features: tuple, label: str = "win_flag", min_coverage: float = 0.85, cap: float = 4.0, alpha: float = 1.0, min_rows: int = 10) -> DataFrame:
+def catalyst_ridge(df: DataFrame, features: tuple, label: str = "win_flag", min_coverage: float = 0.85, cap: float = 4.0, alpha: float = 1.0, min_rows: int = 10, baseline: dict | None = None) -> DataFrame:
     """Ridge on standardised catalyst columns with enough coverage, coefficients mapped back and capped.
 
-    Means, spreads and cross products come from one aggregation; only the small normal equations reach the driver.
+    Without enough covered features or labelled rows the weights of *baseline* are returned (none given: zeros). Means, spreads and cross products come from one aggregation; only the small normal equations reach the driver.
     """
     spark = df.sparkSession
     schema = "mode string, feature string, coverage double, coefficient double"
@@ -154,7 +154,7 @@ def catalyst_ridge(df: DataFrame, features: tuple, label: str = "win_flag", min_
     known = df.filter(c(label).isNotNull()).select(*[F.coalesce(c(f).cast("double"), F.lit(0.0)).alias(f) for f in used], label)
     rows = gram(known.withColumn("_k", F.lit(1)), used, label, F.lit(1.0), ["_k"]) if used else []
     if not rows or rows[0]["m0_0"] < min_rows:
-        return spark.createDataFrame([("fallback", f, share[f], 0.0) for f in features], schema)
+        return spark.createDataFrame([("fallback", f, share[f], float((baseline or {}).get(f, 0.0))) for f in features], schema)
     m, k = rows[0], len(used)
     n = m["m0_0"]
     mean = np.array([m[f"m0_{i}"] / n for i in range(1, k + 2)])

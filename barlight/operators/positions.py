@@ -83,11 +83,6 @@ def summarize(view: DataFrame, *keys: str) -> DataFrame:
     return view.groupBy(*keys).agg(*summary_columns())
 
 
-def drop_recent_holding(view: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """Leave out positions still held that are younger than *days* at *as_of*."""
-    return view.filter(~((c("status") == "holding") & (c("signal_date") >= F.date_sub(as_of, days))))
-
-
 def monthly(view: DataFrame, initial_capital: float | None = None) -> DataFrame:
     """Trades per month with running capital; the running step sees one row per month."""
     m = view.groupBy(F.date_format("signal_date", "yyyy-MM").alias("month")).agg(

@@ -104,11 +104,10 @@ def quantile_edges(long: DataFrame, keys: list[str], buckets: int = 5, min_sampl
     The number of buckets falls to the number of distinct values; repeated edges are dropped.
     """
     cum = cumulative_counts(long, keys, "x")
-    size = Window.partitionBy(*keys)
     stats = cum.groupBy(*keys).agg(F.max("total").alias("_n"), F.least(F.lit(buckets), F.count("*")).cast("int").alias("_q"))
     stats = stats.filter(c("_n") >= min_samples)
     # Groups are few (features x families x lookbacks), so their sizes travel to the slices.
-    rows = cum.join(stats, keys)
+    rows = cum.join(F.broadcast(stats), keys)
     wanted = F.concat(F.transform(F.sequence(F.lit(0), c("_q")), lambda i: i / c("_q")), F.array(F.lit(0.5)))
     rows = rows.withColumn("_w", F.arrays_zip(F.sequence(F.lit(0), c("_q") + 1).alias("i"), wanted.alias("p"))).withColumn("_w", F.explode("_w"))
     pos = c("_w.p") * (c("total") - 1)
@@ -120,7 +119,6 @@ def quantile_edges(long: DataFrame, keys: list[str], buckets: int = 5, min_sampl
     )
     value = rounded(c("lo") + (c("hi") - c("lo")) * F.greatest(c("t"), F.lit(0.0)), 6)
     edge = F.when(c("i") <= c("_q"), value)
-    del size
     return points.groupBy(*keys).agg(
         F.max("_n").alias("n"), F.array_sort(F.collect_set(edge)).alias("edges"), F.max(F.when(c("i") > c("_q"), value)).alias("anchor")
     )

@@ -162,7 +162,7 @@ def grid() -> str:
 oracle("pos_grid", grid())
 oracle("pos_quality_gate", """
 with s as (select case when o_orderpriority <> '5-LOW' then cast(o_orderdate as date) end as d,
-  case when o_orderstatus = 'P' then 'X' || o_custkey else 'S' || (o_custkey % 10) end as t from orders),
+  case when o_orderstatus = 'P' then 'X' || o_custkey else 'S' || o_custkey end as t from orders),
 j as (select case when d is null then 'invalid_date' when t not in (select ticker from q_bars) then 'no_price_history'
   when not exists (select 1 from q_bars b where b.ticker = s.t and b.date = s.d) then 'missing_price_on_date' else 'valid' end as reason from s)
 select reason, count(*)::bigint as n from j group by 1""")

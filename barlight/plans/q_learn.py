@@ -11,7 +11,7 @@ from barlight.functions.columns import rounded
 from barlight.operators import candles, models, outcomes as oc, stoprisk, training
 from barlight.operators.penalties import FEATURES
 from barlight.plans import inputs
-from barlight.plans.q_score import REGIME_FLAGS, SCORES, catalytic, outcomes, rescored_outcomes, st_rows
+from barlight.plans.q_score import CATALYST_WEIGHTS, REGIME_FLAGS, SCORES, catalytic, outcomes, rescored_outcomes, st_rows
 from barlight.plans.queries import query
 from barlight.session import durable
 
@@ -174,7 +174,7 @@ def md_cat_ridge(spark, sf):
     labels = outcomes(spark, sf).select(*K, "win_flag")
     rows = catalytic(spark, sf).join(labels, list(K))
     features = (*REGIME_FLAGS, "within_earnings_window", "within_dividend_window", "post_event_gap_risk", "event_proximity_score")
-    return models.catalyst_ridge(rows, features, min_coverage=0.5)
+    return models.catalyst_ridge(rows, features, baseline=CATALYST_WEIGHTS)
 
 
 def _fit_fold(train, label, kind="logistic", weight=None):

@@ -147,7 +147,7 @@ def pos_grid(spark, sf):
 def pos_quality_gate(spark, sf):
     """Orders as signals on supplier tickers: many fall on days without a bar, some tickers have none."""
     day = F.when(c("o_orderpriority") != "5-LOW", F.to_date("o_orderdate"))
-    ticker = F.when(c("o_orderstatus") == "P", F.concat(F.lit("X"), c("o_custkey").cast("string"))).otherwise(F.concat(F.lit("S"), (c("o_custkey") % 10).cast("string")))
+    ticker = F.when(c("o_orderstatus") == "P", F.concat(F.lit("X"), c("o_custkey").cast("string"))).otherwise(F.concat(F.lit("S"), c("o_custkey").cast("string")))
     signals = inputs.table(spark, sf, "orders").select(day.alias("signal_date"), ticker.alias("ticker"))
     audit = positions.quality_audit(signals, inputs.stored_bars(spark, sf))
     return audit.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))

@@ -316,6 +316,11 @@ def cat_event_window(spark, sf):
     return eventful(spark, sf).select(*K, *EVENT_FLAGS)
 
 
+# One learned weight per catalyst column.
+CATALYST_WEIGHTS = {
+    "vix_regime_high": -1.5, "flow_regime_weak": -0.75, "energy_regime_shock": -3.0, "within_earnings_window": 2.0, "within_dividend_window": 1.0,
+    "post_event_gap_risk": -4.0, "event_proximity_score": 0.5,
+}
 REGIME_FLAGS = ("vix_regime_high", "flow_regime_weak", "energy_regime_shock")
 
 
@@ -350,9 +355,6 @@ def cat_mode_rerank(spark, sf):
 
 @query
 def cat_penalty_apply(spark, sf):
-    # One learned weight per catalyst column.
-    weights = {"vix_regime_high": -1.5, "flow_regime_weak": -0.75, "energy_regime_shock": -3.0, "within_earnings_window": 2.0, "within_dividend_window": 1.0,
-               "post_event_gap_risk": -4.0, "event_proximity_score": 0.5}
-    return catalysts.apply_learned_penalties(catalytic(spark, sf), weights).select(*K, "catalyst_penalty", "signal_score")
+    return catalysts.apply_learned_penalties(catalytic(spark, sf), CATALYST_WEIGHTS).select(*K, "catalyst_penalty", "signal_score")
 
 
