@@ -143,7 +143,7 @@ def votes(doc: np.ndarray, term: np.ndarray, n: np.ndarray, words: np.ndarray, t
 class LabelModel:
     """P(votes | class) as a product of tables, one for each voter or clique of dependent voters, and the share of toxic documents."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, dependence: float = 0.02, clique: int = 3):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, dependence: float = 0.05, clique: int = 3):
         self.cliques = [(j,) for j in range(patterns.shape[1])]
         self._expectation_maximisation(patterns, counts, rounds)
         linked = sorted(((self._conditional_information(patterns, counts, i, j), i, j) for i in range(patterns.shape[1]) for j in range(i)), reverse=True)
@@ -177,18 +177,20 @@ class LabelModel:
         self.toxic = toxic
 
     def _conditional_information(self, patterns: np.ndarray, counts: np.ndarray, i: int, j: int) -> float:
-        """Mutual information of two voters given the class."""
-        total = 0.0
-        for mass in (counts * self.toxic, counts * (1 - self.toxic)):
+        """Mutual information of two voters given the class, as the other voters see it: a pair that repeats itself would else pass for the class."""
+        total, toxic = 0.0, self.posterior(patterns, (i, j))
+        for mass in (counts * toxic, counts * (1 - toxic)):
             joint = np.bincount((patterns[:, i] + 1) * 3 + patterns[:, j] + 1, mass, 9).reshape(3, 3) + 1e-9
             joint /= joint.sum()
             total += mass.sum() / counts.sum() * (joint * np.log(joint / joint.sum(axis=1, keepdims=True) / joint.sum(axis=0))).sum()
         return total
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    def posterior(self, patterns: np.ndarray, without: tuple[int, ...] = ()) -> np.ndarray:
+        """Probability of toxic for each pattern, from all voters or all but some."""
         z = np.full(len(patterns), np.log(self.share / (1 - self.share)))
-        for code, table in zip(self._codes(patterns), self.tables):
-            z += table[1][code] - table[0][code]
+        for clique, code, table in zip(self.cliques, self._codes(patterns), self.tables):
+            if not set(clique) & set(without):
+                z += table[1][code] - table[0][code]
         return sigmoid(z)
 
 

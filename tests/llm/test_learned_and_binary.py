@@ -67,7 +67,8 @@ def test_archives_round_trip(spark, tmp_path):
         magic, size = struct.unpack_from("<II", archive)
         assert magic == warc.DICTIONARY_MAGIC
         first = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(archive[8 : 8 + size])).decompressobj()
-        assert first.decompress(archive[8 + size :]).startswith(b"WARC/1.1\r\n") and first.unused_data  # each record is a frame of its own
+        start = 8 + size + len(warc.SEPARATOR)
+        assert first.decompress(archive[start:]).startswith(b"WARC/1.1\r\n") and first.unused_data  # each record is a frame of its own
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
