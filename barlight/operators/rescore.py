@@ -14,7 +14,7 @@ Step = Callable[[DataFrame], DataFrame]
 REPLACED = (
     "lt_health_bonus", "lt_health_points", "score_penalty_total", "score_markov_adjustment", "pattern_bonus", "score_pattern", "signal_stop_risk",
     "signal_score_pre_stop_risk_penalty", "signal_reliability_score", "score_penalty_stop_risk", "score_penalty_stop_risk_gated", "probability",
-    "st_score_pre_model", "blended_score", "st_score", "gap_intraday_pct", "volatility_pct", *stscore.boosters(), *stoprisk.REGIME_FEATURES,
+    "st_score_pre_model", "blended_score", "st_score", "gap_intraday_pct", "volatility_pct", *stscore.BOOSTERS, *stoprisk.REGIME_FEATURES,
 )
 
 

@@ -77,6 +77,9 @@ def rank_uplift(signals: DataFrame, probability: str = "probability", weight: fl
     ).drop("_rank", "_rank_n")
 
 
+BOOSTERS = ("boost_regime", "boost_consensus", "boost_entry", "boost_volatility", "boost_precision")
+
+
 def boosters() -> dict[str, Column]:
     """Five additive bonuses from regime, consensus, entry quality, volatility and precision columns."""
     z = lambda name, default=0.0: F.coalesce(c(name).cast("double"), F.lit(float(default)))
