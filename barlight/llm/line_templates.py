@@ -28,7 +28,8 @@ MIN_TOKENS = 5
 def masked(line: Column) -> Column:
     """Tokens with one space between them; a token with a digit is a variable field."""
     tidy = F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0b]+", " "))
-    return F.when(line.rlike("[0-9\\t\\r\\f\\x0b]|  |^ | $"), F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ") | line.rlike("[0-9\\t\\r\\f\\x0b]")
+    return F.when(odd, F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
@@ -37,8 +38,10 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     around = lambda x, i: F.struct(i.alias("position"), x.alias("line"), F.xxhash64(F.get("lines", i - 1), F.get("lines", i + 1)).alias("context"))
     texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), lines.alias("lines"))
     parts = texts.select("h", "size", F.explode(F.transform("lines", around)).alias("part"))
-    parts = parts.select("h", "size", "part.position", "part.context", masked(F.col("part.line")).alias("mask")).filter("mask != ''")
-    tokens = F.length("mask") - F.length(F.replace("mask", F.lit(" "), F.lit(""))) + 1
+    parts = parts.select("h", "size", "part.*").filter(F.btrim("line", F.lit(" \t\r\f\x0b")) != "")
+    # The generators keep the optimizer from copying what they make into every expression and filter above.
+    parts = parts.select("h", "size", "position", "context", F.explode(F.array(masked(F.col("line")))).alias("mask"))
+    tokens = F.octet_length("mask") - F.octet_length(F.replace("mask", F.lit(" "), F.lit(""))) + 1
     return parts.withColumns({"event": F.xxhash64("mask"), "tokens": tokens, "leaf": F.xxhash64(tokens, F.substring_index("mask", " ", LEADING))})
 
 
@@ -57,7 +60,8 @@ def leaf_templates(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(event, template) of the lines that belong to the template of a leaf that holds several different lines."""
     several = facts.filter(F.col("tokens") >= MIN_TOKENS).groupBy("leaf").agg(F.min("event").alias("low"), F.max("event").alias("high")).filter("low != high").select("leaf")
     several = durable(several)
-    lines = parsed_lines(docs).filter((F.col("tokens") >= MIN_TOKENS) & in_bitmap(several, "leaf")).select("leaf", "event", "mask")
+    lines = parsed_lines(docs).select("mask", F.explode(F.array(F.struct("leaf", "event", "tokens"))).alias("key")).select("mask", "key.*")
+    lines = lines.filter((F.col("tokens") >= MIN_TOKENS) & in_bitmap(several, "leaf")).select("leaf", "event", "mask")
     events = durable(lines.groupBy("leaf", "event").agg(F.max("mask").alias("mask")).join(several, "leaf"))
     tokens = events.select("leaf", "event", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
