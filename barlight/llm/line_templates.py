@@ -4,8 +4,9 @@ Lines are parsed by a tree of fixed depth: number of tokens, then the leading to
 end in the same leaf are compared position by position: a token that most of the leaf's different lines share is constant, and a line of which
 nearly all tokens are constant belongs to the leaf's template, in which the other positions are variable. Any other line is a template of its own.
 
-A template that recurs across documents is dropped from all of them. Copies of whole documents are not recurrence: equal texts count once, and most of
-a template's documents must hold it between different neighbours, as boilerplate and shared passages are and the lines of near copies aren't.
+A template that recurs across documents is dropped from all of them. Copies of whole documents are not recurrence: a template recurs if several texts
+hold it of which no two are near copies. Two texts are near copies if the lines that only one of them holds are made of much the same word pairs as the
+other text. So what surrounds a template inside a shared passage doesn't matter, nor how many near copies hold it.
 
 Only hashes of lines are shuffled, and the lines of leaves that hold several; texts move once, to meet the positions that go. All groupings pre-aggregate, so a line that a third of all
 documents hold is one row for each split before it moves.
@@ -19,10 +20,15 @@ from barlight.session import durable
 
 LEADING = 3
 MIN_TEXTS = 3
+"""So many texts, no two of them near copies, hold a template that recurs."""
 CONSTANT_SHARE = 0.8
 BITMAP = 1 << 22
 MIN_TOKENS = 5
 """Shorter lines are their own templates: too few tokens to tell constants from variables."""
+PROBES = 8
+SKETCH = 12
+"""Hashed word pairs kept of each line, the smallest; the first PROBES of a line are looked up among all of the other text."""
+NEAR = 0.55
 
 
 def masked(line: Column) -> Column:
@@ -33,14 +39,12 @@ def masked(line: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a token of each text: text key (h, size), position, context, masked line, its hash, tokens and leaf."""
+    """A row for each line with a token of each text: text key (h, size), number of lines, position, masked line, its hash, tokens and leaf."""
     lines = F.split("text", "\n")
-    around = lambda x, i: F.struct(i.alias("position"), x.alias("line"), F.xxhash64(F.get("lines", i - 1), F.get("lines", i + 1)).alias("context"))
     texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), lines.alias("lines"))
-    parts = texts.select("h", "size", F.explode(F.transform("lines", around)).alias("part"))
-    parts = parts.select("h", "size", "part.*").filter(F.btrim("line", F.lit(" \t\r\f\x0b")) != "")
-    # The generators keep the optimizer from copying what they make into every expression and filter above.
-    parts = parts.select("h", "size", "position", "context", F.explode(F.array(masked(F.col("line")))).alias("mask"))
+    parts = texts.select("h", "size", F.size("lines").alias("total"), F.posexplode("lines").alias("position", "line")).filter(F.btrim("line", F.lit(" \t\r\f\x0b")) != "")
+    # The generator keeps the optimizer from copying what it makes into every expression and filter above.
+    parts = parts.select("h", "size", "total", "position", F.explode(F.array(masked(F.col("line")))).alias("mask"))
     tokens = F.octet_length("mask") - F.octet_length(F.replace("mask", F.lit(" "), F.lit(""))) + 1
     return parts.withColumns({"event": F.xxhash64("mask"), "tokens": tokens, "leaf": F.xxhash64(tokens, F.substring_index("mask", " ", LEADING))})
 
@@ -71,12 +75,48 @@ def leaf_templates(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return shares.filter(F.col("share") >= CONSTANT_SHARE).select("event", F.col("leaf").alias("template"))
 
 
-def recurring(lines: DataFrame) -> DataFrame:
-    """Templates that recur across documents: (template, texts, contexts)."""
-    once = lines.groupBy("template", "h", "size").agg(F.min("context").alias("context"))
-    around = once.groupBy("template", "context").agg(F.count("*").alias("n"))
-    found = around.groupBy("template").agg(F.sum("n").alias("texts"), F.count("*").alias("contexts"))
-    return found.filter((F.col("texts") >= MIN_TEXTS) & (F.col("contexts") >= MIN_TEXTS) & (2 * F.col("contexts") >= F.col("texts")))
+def line_sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Texts that *held* names: (h, size), the smallest hashed word pairs of each line by position, and the templates held at positions."""
+    pairs = lambda words: F.transform(words, lambda w, i: F.hash(w, F.coalesce(F.get(words, i + 1), F.lit(""))))
+    sketch = lambda line: F.get(F.transform(F.array(F.split(masked(line), " ")), lambda words: F.slice(F.sort_array(pairs(words)), 1, SKETCH)), 0)
+    blank = lambda line: F.btrim(line, F.lit(" \t\r\f\x0b")) == ""
+    asked = held.groupBy("h", "size").agg(F.collect_set(F.struct("position", "template")).alias("held"))
+    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), "text").filter(in_bitmap(held.select("h"), "h"))
+    lines = F.transform(F.split("text", "\n"), lambda line: F.when(blank(line), F.array().cast("array<int>")).otherwise(sketch(line)))
+    return durable(texts.select("h", "size", lines.alias("sketches")).dropDuplicates(["h", "size"]).join(asked, ["h", "size"]))
+
+
+def recurring(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Templates of *held* (template, h, size, total, position, tokens) that recur across documents: (template).
+
+    Each round takes a text of every template, the one of most lines, and puts the texts that are no near copies of it to the next round.
+    """
+    texts = line_sketches(docs, held)
+    left = held.groupBy("template", "h", "size").agg(F.max("total").alias("total"))
+    for _ in range(MIN_TEXTS - 1):
+        left = apart(left, texts)
+    return left.select("template").distinct()
+
+
+def apart(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of *left* (template, h, size, total) whose texts are no near copies of their template's text of most lines."""
+    lead = left.groupBy("template").agg(F.max(F.struct("total", "h", "size")).alias("lead"))
+    led = durable(left.join(lead, "template").select("template", "h", "size", "total", F.col("lead.h").alias("h2"), F.col("lead.size").alias("size2")).filter("h != h2 or size != size2"))
+    first = texts.select("h", "size", F.col("sketches").alias("x"), F.col("held").alias("x_held"))
+    second = texts.select(F.col("h").alias("h2"), F.col("size").alias("size2"), F.col("sketches").alias("y"), F.col("held").alias("y_held"))
+    pairs = led.select("h", "size", "h2", "size2").distinct().join(first, ["h", "size"]).join(second, ["h2", "size2"])
+    common = F.array_intersect(F.transform("x_held", lambda v: v["template"]), F.transform("y_held", lambda v: v["template"]))
+    pairs = pairs.withColumn("common", F.explode(F.array(common)))
+    for side in ("x", "y"):
+        known = F.transform(F.filter(f"{side}_held", lambda v: F.array_contains("common", v["template"])), lambda v: v["position"])
+        pairs = pairs.withColumn(f"{side}_known", F.explode(F.array(known)))
+    unknown = lambda known: lambda line, i: ~F.array_contains(known, i)
+    for side in ("x", "y"):
+        own = F.transform(F.filter(side, unknown(f"{side}_known")), lambda line: F.slice(line, 1, PROBES))
+        pairs = pairs.withColumn(f"{side}_own", F.explode(F.array(F.array_distinct(F.flatten(own)))))
+    found = lambda own, other: F.size(F.array_intersect(own, F.flatten(other))) >= NEAR * F.size(own)
+    far = pairs.filter(~(found("x_own", "y") | found("y_own", "x"))).select("h", "size", "h2", "size2")
+    return durable(led.join(durable(far), ["h", "size", "h2", "size2"]).select("template", "h", "size", "total"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
@@ -87,8 +127,10 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """
     facts = durable(parsed_lines(docs).drop("mask"))
     templates = leaf_templates(docs, facts)
-    parsed = durable(facts.join(templates, "event", "left").select("h", "size", "position", "context", F.coalesce("template", "event").alias("template")))
-    gone = parsed.join(recurring(parsed).select("template"), "template").groupBy("h", "size").agg(F.collect_set("position").alias("gone"))
+    parsed = facts.join(templates, "event", "left").withColumn("template", F.coalesce("template", "event")).select("template", "h", "size", "total", "position", "tokens")
+    several = parsed.groupBy("template").agg(F.min(F.struct("h", "size")).alias("low"), F.max(F.struct("h", "size")).alias("high")).filter("low != high").select("template")
+    held = durable(parsed.join(several, "template"))
+    gone = held.join(recurring(docs, held), "template").groupBy("h", "size").agg(F.collect_set("position").alias("gone"))
     keyed = docs.drop("n_lines", "n_dropped").withColumns({"_h": F.xxhash64("text"), "_size": F.length("text")})
     gone = gone.select(F.col("h").alias("_h"), F.col("size").alias("_size"), F.col("gone").alias("_gone"))
     joined = keyed.join(gone, ["_h", "_size"], "left").withColumn("_lines", F.split("text", "\n"))

@@ -247,6 +247,22 @@ def test_similar_lines_share_a_leaf_template(spark):
     assert all(r["n_dropped"] >= 1 and "Dear reader" not in r["text"] for r in got)
 
 
+def unlike(i, k):
+    return " ".join(f"{'abcdefghij'[(i * 7 + k * 3 + j) % 10]}{chr(97 + i % 26)}{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(12))
+
+
+def test_whole_blocks_go_whatever_surrounds_them(spark):
+    block = ["Follow us on all the networks", "Read our terms of use here", "All the rest is reserved"]
+    rows = [(i, "\n".join([unlike(i, 0), unlike(i, 1), *block])) for i in range(12)]  # the block's last line ends the text
+    rows += [(20 + i, f"{unlike(20 + i, 0)}\n\nA paragraph set off by blank lines\n\n{unlike(20 + i, 1)}") for i in range(12)]
+    base = [unlike(40, k) for k in range(6)]
+    rows += [(40 + i, "\n".join(line.replace(line.split()[i % 12], f"edit{'abcdefghij'[i]}") if i and k in (i % 6, (i + 2) % 6) else line for k, line in enumerate(base))) for i in range(10)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert all(got[i] == f"{unlike(i, 0)}\n{unlike(i, 1)}" for i in range(12))
+    assert all("paragraph" not in got[20 + i] and unlike(20 + i, 0) in got[20 + i] and unlike(20 + i, 1) in got[20 + i] for i in range(12))
+    assert all(got[40 + i] == dict(rows)[40 + i] for i in range(10))  # near copies of whole documents keep their lines
+
+
 # ---- licenses -----------------------------------------------------------------------------------------------------
 def test_license_scan_equals_containment(spark, corpus):
     filler = lambda n, s: " ".join(f"{s}{i}" for i in range(n))
