@@ -263,6 +263,16 @@ def test_whole_blocks_go_whatever_surrounds_them(spark):
     assert all(got[40 + i] == dict(rows)[40 + i] for i in range(10))  # near copies of whole documents keep their lines
 
 
+def test_near_copies_do_not_shield_a_passage(spark):
+    passage = "A passage that many texts of all kinds hold in them"
+    base = [unlike(50, k) for k in range(4)]
+    rows = [(100 + i, "\n".join([base[0], base[1].replace(base[1].split()[3], f"edit{chr(97 + i % 26)}{chr(97 + i // 26)}"), base[2], passage, base[3]])) for i in range(60)]
+    rows += [(i, f"{unlike(i, 0)}\n{passage}\n{unlike(i, 1)}") for i in range(8)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert all(got[i] == f"{unlike(i, 0)}\n{unlike(i, 1)}" for i in range(8))
+    assert all(passage not in got[100 + i] and base[0] in got[100 + i] and base[3] in got[100 + i] for i in range(60))
+
+
 # ---- licenses -----------------------------------------------------------------------------------------------------
 def test_license_scan_equals_containment(spark, corpus):
     filler = lambda n, s: " ".join(f"{s}{i}" for i in range(n))
