@@ -21,6 +21,8 @@ from barlight.session import durable
 LEADING = 3
 MIN_TEXTS = 3
 """So many texts, no two of them near copies, hold a template that recurs."""
+LONG = 20
+"""Templates of so many tokens don't recur by chance: two such texts are enough."""
 CONSTANT_SHARE = 0.8
 BITMAP = 1 << 22
 MIN_TOKENS = 5
@@ -92,16 +94,18 @@ def recurring(docs: DataFrame, held: DataFrame) -> DataFrame:
     Each round takes a text of every template, the one of most lines, and puts the texts that are no near copies of it to the next round.
     """
     texts = line_sketches(docs, held)
-    left = held.groupBy("template", "h", "size").agg(F.max("total").alias("total"))
-    for _ in range(MIN_TEXTS - 1):
+    left = apart(held.groupBy("template", "h", "size").agg(F.max("total").alias("total"), F.max("tokens").alias("tokens")), texts)
+    found = left.filter(F.col("tokens") >= LONG).select("template")
+    left = left.filter(F.col("tokens") < LONG)
+    for _ in range(MIN_TEXTS - 2):
         left = apart(left, texts)
-    return left.select("template").distinct()
+    return found.union(left.select("template")).distinct()
 
 
 def apart(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of *left* (template, h, size, total) whose texts are no near copies of their template's text of most lines."""
+    """The rows of *left* (template, h, size, total, tokens) whose texts are no near copies of their template's text of most lines."""
     lead = left.groupBy("template").agg(F.max(F.struct("total", "h", "size")).alias("lead"))
-    led = durable(left.join(lead, "template").select("template", "h", "size", "total", F.col("lead.h").alias("h2"), F.col("lead.size").alias("size2")).filter("h != h2 or size != size2"))
+    led = durable(left.join(lead, "template").select("template", "h", "size", "total", "tokens", F.col("lead.h").alias("h2"), F.col("lead.size").alias("size2")).filter("h != h2 or size != size2"))
     first = texts.select("h", "size", F.col("sketches").alias("x"), F.col("held").alias("x_held"))
     second = texts.select(F.col("h").alias("h2"), F.col("size").alias("size2"), F.col("sketches").alias("y"), F.col("held").alias("y_held"))
     pairs = led.select("h", "size", "h2", "size2").distinct().join(first, ["h", "size"]).join(second, ["h2", "size2"])
@@ -116,7 +120,7 @@ def apart(left: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = pairs.withColumn(f"{side}_own", F.explode(F.array(F.array_distinct(F.flatten(own)))))
     found = lambda own, other: F.size(F.array_intersect(own, F.flatten(other))) >= NEAR * F.size(own)
     far = pairs.filter(~(found("x_own", "y") | found("y_own", "x"))).select("h", "size", "h2", "size2")
-    return durable(led.join(durable(far), ["h", "size", "h2", "size2"]).select("template", "h", "size", "total"))
+    return durable(led.join(durable(far), ["h", "size", "h2", "size2"]).select("template", "h", "size", "total", "tokens"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:

@@ -273,6 +273,15 @@ def test_near_copies_do_not_shield_a_passage(spark):
     assert all(passage not in got[100 + i] and base[0] in got[100 + i] and base[3] in got[100 + i] for i in range(60))
 
 
+def test_long_passages_of_two_texts_go(spark):
+    passage = f"{unlike(60, 0)} {unlike(61, 0)}"
+    rows = [(i, f"{unlike(i, 0)}\n{passage}\nShort and in two texts\n{unlike(i, 1)}") for i in range(2)]
+    rows += [(10 + i, "\n".join([unlike(62, 0), unlike(62, 1) + f" changed{'ab'[i]}", f"{unlike(63, 0)} {unlike(64, 0)}", unlike(62, 2)])) for i in range(2)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert all(got[i] == f"{unlike(i, 0)}\nShort and in two texts\n{unlike(i, 1)}" for i in range(2))
+    assert all(got[10 + i] == dict(rows)[10 + i] for i in range(2))  # near copies
+
+
 # ---- licenses -----------------------------------------------------------------------------------------------------
 def test_license_scan_equals_containment(spark, corpus):
     filler = lambda n, s: " ".join(f"{s}{i}" for i in range(n))
