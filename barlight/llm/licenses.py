@@ -43,6 +43,9 @@ NOTICES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+ALL_NOTICES = {**NOTICES, "All-rights-reserved": "All rights reserved."}
+"""With the notices that are shorter than a shingle."""
+
 PUNCTUATION = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
@@ -65,7 +68,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Templates:
-    """Templates by size class, and their band tables."""
+    """Templates by size class, and their band tables; templates of fewer words than *width* have no shingle and are left out, see by_width."""
 
     def __init__(self, notices: dict[str, str], width: int, containment: float, miss: float):
         self.names, self.sets = [], []
@@ -91,6 +94,15 @@ class Templates:
             self.classes.append((size, seeds, dict(table)))
 
 
+def by_width(notices: dict[str, str], width: int, containment: float, miss: float) -> dict[int, Templates]:
+    """Templates by the width of their shingles: *width*, or all words of a template that has fewer."""
+    parts: dict[int, dict[str, str]] = defaultdict(dict)
+    for name, text in notices.items():
+        if words := words_of(text.encode()):
+            parts[min(width, len(words))][name] = text
+    return {w: Templates(part, w, containment, miss) for w, part in sorted(parts.items())}
+
+
 def minima(shingles: np.ndarray, seeds: np.ndarray) -> list[int]:
     return mixed(shingles[None, :] ^ seeds[:, None]).min(axis=1).tolist()
 
@@ -115,30 +127,30 @@ def scan_text(shingles: np.ndarray, hits: np.ndarray, templates: Templates, cont
 def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, width: int = SHINGLE, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
     """Licenses that documents hold: doc_id, license, containment (0.8 or more), start_word.
 
-    One row for each document and license found, at the first window that holds most of it. Templates of fewer words than a shingle can't be found. Null, empty
-    and short texts have none; null ids stay null; repeated rows give repeated rows; an empty table gives an empty one; other columns are ignored.
+    One row for each document and license found, at the first window that holds most of it. A template of fewer words than *width* is one shingle of all its words and found
+    where they follow each other. Null and empty texts have none; null ids stay null; repeated rows give repeated rows; an empty table gives an empty one; other columns are ignored.
     """
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    sent = source.sparkSession.sparkContext.broadcast(Templates(notices, width, containment, miss))
+    sent = source.sparkSession.sparkContext.broadcast(by_width(notices, width, containment, miss))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = sent.value
         for part in slices(batches, "text"):
             words, borders = [], [0]
             for text in part.column("text").to_pylist():
                 words += words_of(text) if text else []
                 borders.append(len(words))
-            shingles = rolled(word_hashes(words), width)
-            at = np.minimum(np.searchsorted(templates.all, shingles), max(len(templates.all) - 1, 0))
-            hits = np.flatnonzero(templates.all[at] == shingles) if len(templates.all) else np.zeros(0, np.int64)
-            doc = np.searchsorted(borders, hits, side="right") - 1
-            hits, doc = (x[hits + width <= np.array(borders)[doc + 1]] for x in (hits, doc))  # not across two texts
-            rows = []
-            for d in np.unique(doc).tolist():
-                start, stop = borders[d], borders[d + 1] - width + 1
-                for i, (share, first) in sorted(scan_text(shingles[start:stop], hits[doc == d] - start, templates, containment).items()):
-                    rows.append((d, templates.names[i], share, first))
+            hashes, rows = word_hashes(words), []
+            for width, templates in sent.value.items():
+                shingles = rolled(hashes, width)
+                at = np.minimum(np.searchsorted(templates.all, shingles), len(templates.all) - 1)
+                hits = np.flatnonzero(templates.all[at] == shingles)
+                doc = np.searchsorted(borders, hits, side="right") - 1
+                hits, doc = (x[hits + width <= np.array(borders)[doc + 1]] for x in (hits, doc))  # not across two texts
+                for d in np.unique(doc).tolist():
+                    start, stop = borders[d], borders[d + 1] - width + 1
+                    for i, (share, first) in sorted(scan_text(shingles[start:stop], hits[doc == d] - start, templates, containment).items()):
+                        rows.append((d, templates.names[i], share, first))
             columns = [part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))]
             columns += [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.float64()), (3, pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "license", "containment", "start_word"])

@@ -31,7 +31,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices that documents hold."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.ALL_NOTICES)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

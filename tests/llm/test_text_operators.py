@@ -299,3 +299,12 @@ def test_license_scan_equals_containment(spark, corpus):
     lines = {r["doc_id"] for r in corpus.collect() if any(x in r["text"] for x in ("CC BY-NC 4.0.", "MIT License.", "Apache License, Version 2.0.", "Public License, version 3."))}
     assert {r["doc_id"] for r in licenses.scan(corpus).collect()} == lines
     assert licenses.scan(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_notices_shorter_than_a_shingle_are_found(spark, corpus):
+    notices = {**licenses.ALL_NOTICES, "one": "Copyleft", "none": " . "}
+    rows = [(1, "All rights reserved."), (2, f"{PASSAGE}\nall RIGHTS, reserved"), (3, "All rights"), (4, "reserved."), (5, "Not all rights were reserved."), (6, "MIT copyleft"), (7, "x " * 500 + "All rights reserved. Released under the MIT License."), (8, None)]
+    found = collections.Counter((r["doc_id"], r["license"]) for r in licenses.scan(docs(spark, rows), notices).collect())
+    assert found == collections.Counter([(1, "All-rights-reserved"), (2, "All-rights-reserved"), (6, "one"), (7, "All-rights-reserved"), (7, "MIT")])
+    short = {r["doc_id"] for r in licenses.scan(corpus, licenses.ALL_NOTICES).filter("license = 'All-rights-reserved'").collect()}
+    assert short == {r["doc_id"] for r in corpus.collect() if b"all rights reserved" in b" ".join(licenses.words_of(r["text"].encode()))}
