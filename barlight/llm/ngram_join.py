@@ -112,7 +112,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def node_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, signature, minima, keys) of every document; keys are the prefix shingles."""
+    """(doc_id, text_hash, n, node, signature, minima, keys) of every document; keys are the prefix shingles."""
     classes = docs.sparkSession.sparkContext.broadcast(shingle_classes(docs, width))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -134,10 +134,10 @@ def node_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 rare = table[(s & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
                 order = rare << np.uint64(56) | s >> np.uint64(8)  # ties in the upper 56 bits keep the order of s: the sort is stable
                 keys.append(s[np.argsort(order, kind="stable")[:first]].astype(np.int64))
-            columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "signature", "minima", "keys"])
+            columns = [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "signature", "minima", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, signature binary, minima array<long>, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, signature binary, minima array<long>, keys array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,13 +287,13 @@ def sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) ->
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n, node) of every distinct set, and links (a, b) between nodes that connect all that are alike.
+    """Members (doc_id, text_hash, n, node) of every distinct set, and links (a, b) between nodes that connect all that are alike.
 
     Not every link inside a group is listed: nodes that are connected by links already are not compared again.
     """
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    table = durable(node_table(docs, width, percent))
-    members = table.select("doc_id", "n", "node")
+    table = durable(node_table(docs.withColumn("text_hash", F.xxhash64("text")), width, percent))
+    members = table.select("doc_id", "text_hash", "n", "node")
     nodes = durable(table.filter("node is not null").dropDuplicates(["node"]))
 
     minima = nodes.select("node", F.posexplode("minima").alias("slot", "key"))
@@ -329,8 +329,13 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with its smallest id, with all columns of *docs*; rows that repeat an id stay once."""
-    groups = join_components(docs, width, percent)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(stay["doc_id"])
-    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, with all columns of *docs*: the one with the smallest id (null is last), then the smallest text hash.
+
+    Rows without words are their own components; of rows with the same id and text one stays. Rows with null or repeated ids but other texts are told apart.
+    """
+    members, found = links(docs, width, percent)
+    named = members.filter("node is not null").join(components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    best = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("best"))
+    stay = best.select("best.doc_id", "best.text_hash").union(members.filter("node is null").select("doc_id", "text_hash")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_stays"))
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("binary")))
+    return keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_stays")), "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")

@@ -217,6 +217,17 @@ def test_one_of_each_group_stays(spark):
     assert ngram_join.join_components(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_stay(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (None, text(0) + " end"), (4, text(5)), (4, text(6)), (4, text(6)), (2, text(7)), (None, text(7) + " end"), (9, text(7))]
+    rows += [(5, None), (5, ""), (None, None), (None, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.first_of_each(docs(spark, rows)).collect()]
+    rest = collections.Counter(kept)
+    assert rest[None, text(0)] + rest[None, text(0) + " end"] == 1
+    want = [(None, text(k)) for k in range(1, 5)] + [(4, text(5)), (4, text(6)), (2, text(7)), (5, None), (5, ""), (None, None), (None, " ")]
+    assert collections.Counter(r for r in kept if r[1] not in (text(0), text(0) + " end")) == collections.Counter(want)
+
+
 def test_large_tiles_are_cut(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 4)
     rows = near_copies(seed=7, groups=3, size=30)
