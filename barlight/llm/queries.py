@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import bpe, licenses, line_templates, ngram_join, packing, quality, rules, topk, toxicity, warc
+from barlight.llm import alignment, bpe, licenses, line_templates, ngram_join, packing, quality, rules, topk, toxicity, warc
 from barlight.llm.oracles import ORACLE_SQL  # noqa: F401 - read by __spark_entry__
 from barlight.sources.derived import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, BYTE_RANKS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,11 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two vocabularies in every document, with their counts over all documents."""
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, BYTE_RANKS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_top_k": op2_exact_top_k,
@@ -75,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_archives": op8_warc_archives,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sequence_packing": op10_sequence_packing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
