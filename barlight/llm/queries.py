@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import alignment, bpe, licenses, line_templates, ngram_join, packing, quality, rules, topk, toxicity, warc
+from barlight.llm import alignment, bpe, language, licenses, line_templates, ngram_join, packing, quality, rules, topk, toxicity, warc, whitening
 from barlight.llm.oracles import ORACLE_SQL  # noqa: F401 - read by __spark_entry__
 from barlight.sources.derived import table
 
@@ -65,6 +65,16 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing entropy."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 leading principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between the tokens of two vocabularies in every document, with their counts over all documents."""
     return alignment.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, BYTE_RANKS)
@@ -81,5 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_archives": op8_warc_archives,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sequence_packing": op10_sequence_packing,
+    "op11_language_id": op11_language_id,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
