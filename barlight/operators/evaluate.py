@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlight.functions.columns import as_int, business_ordinal, rounded
@@ -21,9 +19,8 @@ def ranking_metrics(rows: DataFrame, keys: list[str], score: str, ret: str = "re
     closed = rows.filter(c(status).isin("target", "stop")).withColumn("_hit", as_int(c(status) == "target"))
     auc = rank_auc(closed, score, "_hit", tuple(keys)).select(*keys, "auc")
     ic = spearman(rows, score, ret, tuple(keys)).select(*keys, c("rank_corr").alias("rank_ic"))
-    # One row per group of the bounded grid of score definitions.
     cuts = quantiles(rows, keys, score, {"q_low": 0.2, "q_high": 0.8}).select(*keys, "q_low", "q_high")
-    joined = rows.join(F.broadcast(cuts), keys)
+    joined = rows.join(cuts, keys)
     top, bottom, done = c(score) >= c("q_high") - 1e-9, c(score) <= c("q_low") + 1e-9, c(status).isin("target", "stop")
     hit = F.when(done, as_int(c(status) == "target") * 100.0)
     spread = joined.groupBy(*keys).agg(
@@ -74,7 +71,7 @@ def blend_sweep(rows: DataFrame, grid: dict[str, dict[str, float]]) -> DataFrame
 def tail_rates(rows: DataFrame, score: str, label: str, q: float = 0.2, keys: tuple = ()) -> DataFrame:
     """Label rate in the lowest and highest *q* of a score."""
     cuts = quantiles(rows, list(keys), score, {"low_cut": q, "high_cut": 1 - q})
-    joined = rows.join(F.broadcast(cuts), list(keys)) if keys else rows.withColumns({x: cuts.select(x).scalar() for x in ("low_cut", "high_cut")})
+    joined = rows.join(cuts, list(keys)) if keys else rows.withColumns({x: cuts.select(x).scalar() for x in ("low_cut", "high_cut")})
     low, high = c(score) <= c("low_cut") + 1e-9, c(score) >= c("high_cut") - 1e-9
     return joined.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.first("low_cut").alias("low_cut"), F.first("high_cut").alias("high_cut"),
@@ -195,34 +192,3 @@ def score_histogram(rows: DataFrame, score: str, thresholds: tuple = (70, 72, 75
         F.count("*").alias("n"), *[F.count_if(c(score) >= t).alias(f"ge_{t}") for t in thresholds], rounded(F.avg(score), 2).alias("mean_score"),
         F.max(score).alias("max_score"), F.min(score).alias("min_score"), top.alias("top"),
     ).select("*", c("top.ticker").alias("top_ticker"), c("top.pattern").alias("top_pattern")).drop("top")
-
-
-def monthly_folds(rows: DataFrame, min_train: int) -> list[str]:
-    """Months with at least *min_train* earlier rows; only one count per month reaches the driver."""
-    counts = rows.groupBy("month").agg(F.count("*").alias("n")).orderBy("month").collect()
-    out, seen = [], 0
-    for r in counts:
-        if seen >= min_train:
-            out.append(r["month"])
-        seen += r["n"]
-    return out
-
-
-def walk_forward(rows: DataFrame, fit, label: str, min_train: int = 250, workers: int = 4, score: str = "score") -> DataFrame:
-    """Expanding monthly evaluation: fit on everything before a month, score the month. *fit*: train -> (df -> df)."""
-    months = monthly_folds(rows, min_train)
-
-    def fold(month: str) -> DataFrame:
-        train = rows.filter((c("month") < month) & c(label).isNotNull())
-        return fit(train)(rows.filter(c("month") == month)).withColumn("fold", F.lit(month))
-
-    if not months:
-        return rows.limit(0).withColumns({score: F.lit(None).cast("double"), "fold": F.lit(None).cast("string")})
-    with ThreadPoolExecutor(workers) as pool:
-        parts = list(pool.map(fold, months))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from barlight.config import Outcome
@@ -175,30 +173,3 @@ def md_cat_ridge(spark, sf):
     rows = catalytic(spark, sf).join(labels, list(K))
     features = (*REGIME_FLAGS, "within_earnings_window", "within_dividend_window", "post_event_gap_risk", "event_proximity_score")
     return models.catalyst_ridge(rows, features, baseline=CATALYST_WEIGHTS)
-
-
-def _fit_fold(train, label, kind="logistic", weight=None):
-    fitted = models.fit(train, label, SCORES, kind, weight=weight)
-    return partial(fitted.score, name="score")
-
-
-@query
-def ev_walk_forward(spark, sf):
-    from barlight.operators.evaluate import walk_forward
-
-    rows = outcomes(spark, sf).select(*K, "month", "pattern_family", "stop_before_target", *SCORES)
-    rows = rows.filter(c("stop_before_target").isNotNull())
-    out = walk_forward(rows, partial(_fit_fold, label="stop_before_target"), "stop_before_target")
-    return out.select(*K, "fold", "stop_before_target", "score")
-
-
-@query
-def ev_holdout(spark, sf):
-    """One cutoff: fit before it, report tail rates per month after it."""
-    from barlight.operators.evaluate import tail_rates
-
-    rows = outcomes(spark, sf).filter(c("stop_before_target").isNotNull())
-    cut = F.lit("1999-07-01").cast("date")
-    fitted = models.fit(rows.filter(c("signal_date") < cut), "stop_before_target", SCORES)
-    scored = durable(fitted.score(rows.filter(c("signal_date") >= cut), "score").select("month", "score", "stop_before_target"))
-    return tail_rates(scored, "score", "stop_before_target", keys=("month",))

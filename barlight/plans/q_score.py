@@ -57,14 +57,19 @@ def short_term_models(spark, sf):
 
 
 @inputs.plan_once
-def rescored_outcomes(spark, sf):
-    """Labels of signals whose whole horizon is known, with the columns the rescoring chain adds."""
+def rescored_history(spark, sf):
+    """Labelled signals with the columns the rescoring chain adds, kept as a table."""
     scored = chain.rescore(inputs.signals(spark, sf), family_weights(spark, sf), buckets(spark, sf), transitions(spark, sf))
     scored = stoprisk.join_breadth(scored, breadth(spark, sf)).select(*K, *stoprisk.FEATURE_SETS["full"])
-    labels = outcomes(spark, sf).filter(c("bars_available") >= Outcome().horizon).select(*K, "month", "pattern_family", *stoprisk.TARGETS)
+    labels = outcomes(spark, sf).select(*K, "month", "pattern_family", "bars_available", *stoprisk.TARGETS)
     return durable(labels.join(scored, list(K)))
 
 
+def rescored_outcomes(spark, sf):
+    """Those of them whose whole horizon is known."""
+    return rescored_history(spark, sf).filter(c("bars_available") >= Outcome().horizon).drop("bars_available")
+
+
 @inputs.plan_once
 def stop_risk_model(spark, sf):
     return models.fit(rescored_outcomes(spark, sf), "stop_before_target", stoprisk.FEATURE_SETS["scores_only"])

@@ -24,6 +24,6 @@ def query(fn):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from barlight.plans import q_learn, q_market, q_outcome, q_score, q_signal, q_source, q_stream  # noqa: F401
+    from barlight.plans import q_learn, q_market, q_outcome, q_score, q_signal, q_source, q_stream, q_walk  # noqa: F401
 
     return dict(QUERIES)
