@@ -201,12 +201,19 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The accepted documents, with all their columns."""
+    """The accepted documents, with all their columns.
+
+    What the views read goes to Python and verdicts come back: the rows themselves stay in the JVM.
+    """
     model = train(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels)
+    if model is None:
+        return docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def accepts(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         shapes = WordShapes()
-        for part in slices(batches, "text"):
-            yield part.filter(pa.array(model.score(views_of(part, shapes))[2] >= 0.5)) if model else part
+        for read in columns:
+            batch = pa.record_batch(list(read), ["text", "lang", "source", "n_chars"])
+            yield pa.array(np.concatenate([model.score(views_of(part, shapes))[2] >= 0.5 for part in slices(iter([batch]), "text")] or [np.zeros(0, bool)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(accepts("text", "lang", "source", "n_chars"))
