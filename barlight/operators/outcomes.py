@@ -2,7 +2,7 @@
 
 Bars are addressed by (ticker, block of 64 bars). A signal meets only the blocks its horizon touches, so the work is
 linear in signals times horizon instead of all bars of the instrument. Unbounded scans first find the one later block
-that can contain the touch from per-block extremes.
+that can contain the touch: they descend a two-level index of block extremes, which each instrument has as one row.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from barlight.operators.indicators import number_bars
 
 c = F.col
 BLOCK = 64
+GROUP = 32
 KEY = ("ticker", "signal_date", "pattern")
 
 
@@ -155,32 +156,48 @@ def coverage_target(t: DataFrame, cfg: Outcome = COVERAGE) -> DataFrame:
 
 
 # ---- unbounded scans ----------------------------------------------------------------------------------------------
+def reach_index(blocked: DataFrame, top: str) -> DataFrame:
+    """One row per ticker: its groups of GROUP blocks, each with its own extremes and those of its blocks, in time order.
+
+    Bars are unique per (ticker, date), so a row is bounded by the calendar: a century of days has fewer than 600 blocks.
+    """
+    extremes = blocked.groupBy("ticker", c("_block").alias("block")).agg(F.max(top).alias("top"), F.min("_close").alias("bottom"))
+    groups = extremes.groupBy("ticker", F.floor(c("block") / GROUP).alias("group")).agg(
+        F.max("block").alias("last"), F.max("top").alias("top"), F.min("bottom").alias("bottom"), F.array_sort(F.collect_list(F.struct("block", "top", "bottom"))).alias("blocks")
+    )
+    return groups.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("group", "last", "top", "bottom", "blocks"))).alias("_index"))
+
+
+def first_reach(after: Column, target: Column, stop: Column, index: str = "_index") -> Column:
+    """Number of the first block beyond *after* whose extremes reach *target* or *stop*; null without one.
+
+    Of the groups that qualify only two are opened: the first may do so by a block that isn't late enough, every block of the second is.
+    """
+    reaches = lambda x: F.coalesce(x["top"] >= target, F.lit(False)) | F.coalesce(x["bottom"] <= stop, F.lit(False))
+    groups = F.slice(F.filter(index, lambda g: (g["last"] > after) & reaches(g)), 1, 2)
+    late = F.flatten(F.transform(groups, lambda g: F.filter(g["blocks"], lambda b: (b["block"] > after) & reaches(b))))
+    return F.try_element_at(late, F.lit(1))["block"]
+
+
 def _first_touch(signals: DataFrame, bars: DataFrame, target: Column, stop: Column | None, by_close: bool, lockout_days: int, key: tuple = KEY) -> DataFrame:
-    """First later bar at or beyond target (or, once the lockout is over, closing at or below stop)."""
+    """First later bar at or beyond target (or, once the lockout is over, closing at or below stop), as column hit.
+
+    A signal looks at the blocks of its lockout and at the one block that an index of block extremes names, so rows stay in proportion to signals.
+    """
     b = _blocked(bars)
     near = (lockout_days + BLOCK - 1) // BLOCK + 1
     sig = signals.withColumns({"_target": target, "_stop": stop if stop is not None else F.lit(None).cast("double")})
-    probe_until = _block_of(c("bar_no") + 1) + near
-    extremes = b.groupBy(c("ticker").alias("_ticker"), c("_block").alias("_b")).agg(
-        F.max("_close" if by_close else "_high").alias("_top"), F.min("_close").alias("_bottom")
-    )
-    reach = (c("_top") >= c("_target")) | F.coalesce(c("_bottom") <= c("_stop"), F.lit(False))
-    far = (
-        sig.select(*key, "_target", "_stop", probe_until.alias("_u"))
-        .join(extremes, (c("ticker") == c("_ticker")) & (c("_b") > c("_u")) & reach)
-        .groupBy(*key)
-        .agg(F.min("_b").alias("_far"))
-    )
-    probes = sig.join(far, list(key), "left").withColumn(
-        "_block", F.explode(F.concat(F.sequence(_block_of(c("bar_no") + 1), probe_until), F.array_compact(F.array("_far"))))
-    )
+    start, until = _block_of(c("bar_no") + 1), _block_of(c("bar_no") + 1) + near
+    sig = sig.join(reach_index(b, "_close" if by_close else "_high"), "ticker", "left").withColumn("_far", first_reach(until, c("_target"), c("_stop"))).drop("_index")
+    probes = sig.withColumn("_block", F.explode(F.concat(F.sequence(start, until), F.array_compact(F.array("_far")))))
     bb = b.withColumnsRenamed({"ticker": "_ticker", "_block": "_b"})
-    on = (c("ticker") == c("_ticker")) & (c("_block") == c("_b")) & (c("_no") > c("bar_no"))
     hit_target = (c("_close") if by_close else c("_high")) >= c("_target")
     hit_stop = F.coalesce((c("_close") <= c("_stop")) & (F.datediff("_date", "signal_date") > lockout_days), F.lit(False))
+    on = (c("ticker") == c("_ticker")) & (c("_block") == c("_b")) & (c("_no") > c("bar_no")) & (hit_target | hit_stop)
     bar = F.struct(c("_no").alias("no"), c("_date").alias("date"), c("_close").alias("close"), hit_target.alias("target"))
-    first = probes.join(bb, on).filter(hit_target | hit_stop).groupBy(*key).agg(F.min_by(bar, c("_no")).alias("hit"))
-    return signals.join(first, list(key), "left")
+    rest = [x for x in signals.columns if x not in key]
+    first = probes.join(bb, on, "left").groupBy(*key).agg(F.any_value(F.struct(*rest)).alias("_s"), F.min_by(bar, c("_no")).alias("hit"))
+    return first.select(*key, "_s.*", "hit").select(*signals.columns, "hit")
 
 
 def sell_signals(signals: DataFrame, bars: DataFrame, target_pct: float = 6.0) -> DataFrame:
