@@ -12,7 +12,8 @@ from barlight.plans.queries import query
 from barlight.session import run_folder
 from barlight.sources.upserts import keep_last
 from barlight.streaming.bars import run_to_table, ticks_to_bars
-from barlight.streaming.incremental import Store, incremental_scan, run_available, track_stream
+from barlight.streaming.incremental import Store, incremental_scan, run_available
+from barlight.streaming.positions import OUTPUT, bar_events, run_tracking, signal_events
 
 c = F.col
 K = ("ticker", "signal_date", "pattern")
@@ -58,9 +59,14 @@ def str_incremental(spark, sf):
 
 @query
 def str_open_positions(spark, sf):
+    """Bars and signals arrive together in two deliveries; open positions are keyed state between them."""
     home = _folder(spark)
     store = Store(spark, f"{home}/positions")
     signals = positions.hold_flag(positions.lab_stop(inputs.signals(spark, sf)), "fixed_pct")
-    _replay(spark, sf, track_stream(signals, store), home)
-    out = keep_last(spark.read.option("inferSchema", False).parquet(f"{home}/positions"), list(K), "batch")
+    events = bar_events(inputs.stored_bars(spark, sf)).unionByName(signal_events(signals))
+    for name, part in {"a": events.filter(c("ts") < "1999-06-01"), "b": events.filter(c("ts") >= "1999-06-01")}.items():
+        part.write.parquet(f"{home}/landing/delivery={name}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{home}/landing/*").select(*events.columns)
+        run_tracking(stream, store.put, f"{home}/checkpoint")
+    out = keep_last(spark.read.schema(f"{OUTPUT}, batch bigint").parquet(f"{home}/positions"), list(K), "batch")
     return out.select(*K, "status", "exit_date", F.round(c("exit_price") + 1e-9, 4).alias("exit_price"))
