@@ -142,7 +142,7 @@ def coverage(df: DataFrame, features: tuple) -> dict[str, float]:
     return {f: float(row[f] or 0.0) for f in features}
 
 
-def catalyst_ridge(df: DataFrame, features: tuple, label: str = "win_flag", min_coverage: float = 0.85, cap: float = 4.0, alpha: float = 1.0, min_rows: int = 10, baseline: dict | None = None) -> DataFrame:
+def catalyst_ridge(df: DataFrame, features: tuple, label: str = "win_flag", min_coverage: float = 0.85, cap: float = 4.0, alpha: float = 1.0, min_rows: int = 10, baseline: dict | None = None, digits: int = 2) -> DataFrame:
     """Ridge on standardised catalyst columns with enough coverage, coefficients mapped back and capped.
 
     Without enough covered features or labelled rows the weights of *baseline* are returned (none given: zeros). Means, spreads and cross products come from one aggregation; only the small normal equations reach the driver.
@@ -162,7 +162,29 @@ def catalyst_ridge(df: DataFrame, features: tuple, label: str = "win_flag", min_
     cov = np.array([[m[f"m{min(i, j)}_{max(i, j)}"] / n - mean[i - 1] * mean[j - 1] for j in range(1, k + 2)] for i in range(1, k + 1)])
     scaled = n * cov[:, :k] / np.outer(spread, spread)
     beta = np.linalg.solve(scaled + alpha * np.eye(k), n * cov[:, k] / spread) / spread
-    return spark.createDataFrame([("trained", f, share[f], round(float(np.clip(b, -cap, cap)), 2)) for f, b in zip(used, beta)], schema)
+    return spark.createDataFrame([("trained", f, share[f], round(float(np.clip(b, -cap, cap)), digits)) for f, b in zip(used, beta)], schema)
+
+
+def ridge_residuals(df: DataFrame, coefficients: dict[str, float], label: str = "win_flag", alpha: float = 1.0) -> DataFrame:
+    """How far stored catalyst coefficients are from the optimum of the standardised ridge on these rows: feature, coverage, coefficient, residual.
+
+    The residual is the covariance of feature and label minus what the coefficients explain minus the penalty, per row and in standard units.
+    """
+    features = tuple(coefficients)
+    share = coverage(df, features)
+    known = df.filter(c(label).isNotNull()).select(*[F.coalesce(c(f).cast("double"), F.lit(0.0)).alias(f) for f in features], label)
+    rows = gram(known.withColumn("_k", F.lit(1)), list(features), label, F.lit(1.0), ["_k"])
+    out, k = [], len(features)
+    for m in rows:
+        n = m["m0_0"]
+        mean = [m[f"m0_{i}"] / n for i in range(1, k + 2)]
+        cov = lambda i, j: m[f"m{min(i, j)}_{max(i, j)}"] / n - mean[i - 1] * mean[j - 1]  # noqa: B023, E731
+        spread = [max(cov(i, i), 0.0) ** 0.5 or 1.0 for i in range(1, k + 1)]
+        for i, f in enumerate(features, start=1):
+            explained = sum(cov(i, j) * coefficients[g] for j, g in enumerate(features, start=1))
+            residual = (cov(i, k + 1) - explained) / spread[i - 1] - alpha / n * coefficients[f] * spread[i - 1]
+            out.append((f, share[f], coefficients[f], residual))
+    return df.sparkSession.createDataFrame(out, "feature string, coverage double, coefficient double, residual double")
 
 
 __all__ = ["Calibrated", "balance", "catalyst_ridge", "coverage", "design", "estimator", "fit", "isotonic_steps", "prepare", "solve_ridge"]

@@ -247,19 +247,36 @@ def solve_ridge(row, size: int, alpha: float) -> np.ndarray:
     return np.linalg.pinv(m[:-1, :-1] + penalty) @ m[:-1, -1]
 
 
-def candle_overlap(rows: DataFrame, flags: tuple, weight: str | None = None, scale: float = 0.5, cap: float = 10.0, alpha: float = 8.0, shrink: float = 6.0) -> DataFrame:
-    """Ridge linear probability model on all flags at once, shrunk by sample size, per family and overall."""
+def _closed_by_scope(rows: DataFrame, weight: str | None) -> DataFrame:
     closed = _weighted(rows.filter(c("outcome").isin("win", "loss")), weight).withColumn("_y", as_int(c("outcome") == "win"))
-    scoped = closed.withColumn("scope", F.explode(F.array("pattern_family", F.lit(GLOBAL))))
+    return closed.withColumn("scope", F.explode(F.array("pattern_family", F.lit(GLOBAL))))
+
+
+def overlap_coefficients(rows: DataFrame, flags: tuple, weight: str | None = None, alpha: float = 8.0, digits: int = 10) -> dict[str, list[float]]:
+    """Intercept and flag coefficients of the ridge model of each scope."""
+    fits = gram(_closed_by_scope(rows, weight), list(flags), "_y", c("_w"), ["scope"])
+    return {row["scope"]: [round(float(b), digits) for b in solve_ridge(row, len(flags) + 2, alpha)] for row in sorted(fits, key=lambda r: r["scope"])}
+
+
+def candle_overlap(rows: DataFrame, flags: tuple, weight: str | None = None, scale: float = 0.5, cap: float = 10.0, alpha: float = 8.0, shrink: float = 6.0, coefficients: dict[str, list[float]] | None = None) -> DataFrame:
+    """Ridge linear probability model on all flags at once, shrunk by sample size, per family and overall.
+
+    *coefficients* come from a stored fit; without them the model is fitted here. Column residual says how far each is from the optimum
+    on these rows: X'W(y - Xb) - alpha b over the sum of weights, zero (to the digits of the coefficients) where it is one.
+    """
     out = []
-    for row in gram(scoped, list(flags), "_y", c("_w"), ["scope"]):
-        beta = solve_ridge(row, len(flags) + 2, alpha)
+    for row in gram(_closed_by_scope(rows, weight), list(flags), "_y", c("_w"), ["scope"]):
+        beta = solve_ridge(row, len(flags) + 2, alpha) if coefficients is None else coefficients.get(row["scope"])
+        if beta is None:
+            continue
+        m = lambda i, j: float(row[f"m{min(i, j)}_{max(i, j)}"])
         for i, flag in enumerate(flags, start=1):
-            n = float(row[f"m{i}_{i}"])
+            n = m(i, i)
             share = n / (n + shrink) if n > 0 else 0.0
             pp = float(beta[i]) * 100.0
             half = round(max(-cap, min(cap, pp * share * scale)) * 2) / 2
-            out.append((row["scope"], flag, n, round(pp, 2), round(pp * share, 2), round(share, 3), half))
+            rest = (m(i, len(flags) + 1) - sum(m(i, j) * float(b) for j, b in enumerate(beta)) - alpha * float(beta[i])) / m(0, 0)
+            out.append((row["scope"], flag, n, round(pp, 2), round(pp * share, 2), round(share, 3), half, rest))
     return rows.sparkSession.createDataFrame(
-        out, "scope string, flag string, fit_weight double, coef_pp double, coef_pp_shrunk double, shrinkage double, weight double"
+        out, "scope string, flag string, fit_weight double, coef_pp double, coef_pp_shrunk double, shrinkage double, weight double, residual double"
     )

@@ -39,6 +39,6 @@ def build(sql: str) -> str:
 
 
 def all_sql() -> dict[str, str]:
-    from barlight.plans.oracles import base, learn, market, outcome, score, source, walk  # noqa: F401
+    from barlight.plans.oracles import base, fitted, learn, market, outcome, score, source, walk  # noqa: F401
 
     return {k: build(v) for k, v in ORACLES.items()}

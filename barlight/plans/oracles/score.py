@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from barlight.plans.oracles import cte, oracle, r
 from barlight.plans.oracles.base import clip
-from barlight.plans.oracles import outcome, source  # noqa: F401  (their tables come first)
+from barlight.plans.oracles import outcome, parameters, source  # noqa: F401  (their tables come first)
 
 K = "ticker, signal_date, pattern"
 FEATURES = {
@@ -164,12 +164,12 @@ oracle("st_markov_fill", f"""select {K}, markov_state, case when pattern_family
 LEVELS = ("constructive_trend", "fresh_breakout", "extended_breakout", "sideways", "breakdown_risk")
 oracle("st_onehot_state", f"""select ticker, date, {', '.join(f"(state = '{x}')::bigint as {x}_encoded" for x in LEVELS)},
   {" || '|' || ".join(f"(state = '{x}')::int::varchar" for x in LEVELS)} as markov_state_encoded from q_states""")
-_L, _M, _R, _G = "signal_score / 100", "(signal_score / 100) * (signal_score / 100)", "score_trend / 100", "score_setup / 100"
+_L, _M, _R, _G = "p_logistic", "p_margin", "p_random_forest", "p_gbt"
 FOUR = f"0.25::double * {_L} + 0.25::double * {_M} + 0.25::double * {_R} + 0.25::double * {_G}"
 oracle("st_blend", f"""select {K}, {r(FOUR, 6)} as p_four,
-  {r(f'0.05::double * {_L} + 0.95::double * 0.8 / 1.4 * {_M} + 0.95::double * 0.6 / 1.4 * {_R}', 6)} as p_rescaled, {r(f'0.5::double * {_L} + 0.5::double * {_G}', 6)} as p_missing from q_sig""")
+  {r(f'0.05::double * {_L} + 0.95::double * 0.8 / 1.4 * {_M} + 0.95::double * 0.6 / 1.4 * {_R}', 6)} as p_rescaled, {r(f'0.5::double * {_L} + 0.5::double * {_G}', 6)} as p_missing from q_four""")
 cte("q_uplift", f"""
-with p as (select *, {r(FOUR, 6)} as probability from q_sig),
+with p as (select s.*, {r(FOUR, 6)} as probability from q_sig s join q_four using ({K})),
 k as (select *, rank() over (order by probability) + (count(*) over (partition by probability) - 1) / 2 as rk, count(*) over () as n from p)
 select *, {r(clip('probability * 100'), 1)} as st_score_pre_model, 0.75::double * {clip('probability * 100')} + 0.25::double * rk / n * 100 as blended from k""")
 oracle("st_rank_uplift", f"select {K}, st_score_pre_model, {r('blended', 4)} as blended_score from q_uplift")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from barlight.config import Outcome
 from barlight.functions.columns import rounded
-from barlight.operators import candles, models, outcomes as oc, stoprisk, training
+from barlight.operators import candles, models, outcomes as oc, stoprisk, stored, training
 from barlight.operators.penalties import FEATURES
 from barlight.plans import inputs
-from barlight.plans.q_score import CATALYST_WEIGHTS, REGIME_FLAGS, SCORES, catalytic, outcomes, rescored_outcomes, st_rows
+from barlight.plans.parameters import tables
+from barlight.plans.q_score import CATALYST_FEATURES, CATALYST_WEIGHTS, SCORES, catalytic, outcomes, rescored_outcomes, st_rows
 from barlight.plans.queries import query
 from barlight.session import durable
 
@@ -86,6 +87,14 @@ def wt_candle_marginal(spark, sf):
 
 @query
 def wt_candle_overlap(spark, sf):
+    """Weights from the stored coefficients, with their distance from the optimum on these rows."""
+    rows = training.add_recency_weight(candle_rows(spark, sf))
+    out = training.candle_overlap(rows, candles.WEIGHT_FLAGS, "sample_weight", coefficients=tables()["candle_overlap"])
+    return out.withColumns({x: rounded(c(x), 6) + 0.0 for x in ("fit_weight", "residual")})
+
+
+@query
+def wt_candle_overlap_fit(spark, sf):
     rows = training.add_recency_weight(candle_rows(spark, sf))
     return training.candle_overlap(rows, candles.WEIGHT_FLAGS, "sample_weight")
 
@@ -112,25 +121,63 @@ def _scored(spark, sf, kind, **params):
 
 
 @query
-def md_logistic(spark, sf):
+def md_logistic_fit(spark, sf):
     return _scored(spark, sf, "logistic")
 
 
 @query
-def md_rf(spark, sf):
+def md_rf_fit(spark, sf):
     return _scored(spark, sf, "random_forest")
 
 
 @query
-def md_gbt(spark, sf):
+def md_gbt_fit(spark, sf):
     return _scored(spark, sf, "gbt")
 
 
 @query
-def md_margin(spark, sf):
+def md_margin_fit(spark, sf):
     return _scored(spark, sf, "margin")
 
 
+def _stored(spark, sf, kind):
+    p = stored.probability(tables()["short_term"][kind])
+    return st_rows(spark, sf).select(*K, "st_hit_target_7d", rounded(p, 6).alias("probability_calibrated"))
+
+
+@query
+def md_logistic(spark, sf):
+    """Calibrated probabilities from the stored parameter table, like the next three."""
+    return _stored(spark, sf, "logistic")
+
+
+@query
+def md_margin(spark, sf):
+    return _stored(spark, sf, "margin")
+
+
+@query
+def md_rf(spark, sf):
+    return _stored(spark, sf, "random_forest")
+
+
+@query
+def md_gbt(spark, sf):
+    return _stored(spark, sf, "gbt")
+
+
+@query
+def md_gradient(spark, sf):
+    """Gradients of the penalised losses at the stored logistic coefficients, short-term and all four stop-risk targets: zero where the rows are those they were fitted to."""
+    parts = [stored.gradient(st_rows(spark, sf), tables()["short_term"]["logistic"], "st_hit_target_7d", "sample_weight").withColumn("target", F.lit("st_hit_target_7d"))]
+    known = full_horizon(spark, sf)
+    parts += [stored.gradient(known, tables()["stop_risk"][t], t).withColumn("target", F.lit(t)) for t in stoprisk.TARGETS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("target", "column", "train_rows", "positives", (rounded(c("gradient"), 6) + 0.0).alias("gradient"))
+
+
 @query
 def md_isotonic(spark, sf):
     """Calibration steps of a single score."""
@@ -139,8 +186,19 @@ def md_isotonic(spark, sf):
     return rows.select(*K, rounded(stoprisk.step_calibration(c("p"), steps), 6).alias("calibrated"))
 
 
+def full_horizon(spark, sf):
+    return outcomes(spark, sf).filter(c("bars_available") >= Outcome().horizon)
+
+
 @query
 def md_stop_risk(spark, sf):
+    """All four targets from the stored parameter tables, in one pass."""
+    risks = {name: rounded(stored.probability(tables()["stop_risk"][target]), 4) for target, name in stoprisk.TARGETS.items()}
+    return full_horizon(spark, sf).select(*K, *[v.alias(k) for k, v in risks.items()])
+
+
+@query
+def md_stop_risk_fit(spark, sf):
     """Four targets from the scores-only feature set, fitted to signals whose whole horizon is known."""
     rows = rescored_outcomes(spark, sf)
     out = rows
@@ -167,9 +225,17 @@ def md_logistic_optimum(spark, sf):
     return spark.createDataFrame([facts], "train_rows long, positives long, at_optimum boolean")
 
 
+def catalyst_rows(spark, sf):
+    return catalytic(spark, sf).join(outcomes(spark, sf).select(*K, "win_flag"), list(K))
+
+
 @query
 def md_cat_ridge(spark, sf):
-    labels = outcomes(spark, sf).select(*K, "win_flag")
-    rows = catalytic(spark, sf).join(labels, list(K))
-    features = (*REGIME_FLAGS, "within_earnings_window", "within_dividend_window", "post_event_gap_risk", "event_proximity_score")
-    return models.catalyst_ridge(rows, features, baseline=CATALYST_WEIGHTS)
+    """The stored catalyst coefficients, capped, with coverage and their distance from the optimum on these rows."""
+    out = models.ridge_residuals(catalyst_rows(spark, sf), tables()["catalyst"], "win_flag")
+    return out.select("feature", rounded(c("coverage"), 6).alias("coverage"), rounded(F.least(F.greatest(c("coefficient"), F.lit(-4.0)), F.lit(4.0)), 2).alias("coefficient"), (rounded(c("residual"), 6) + 0.0).alias("residual"))
+
+
+@query
+def md_cat_ridge_fit(spark, sf):
+    return models.catalyst_ridge(catalyst_rows(spark, sf), CATALYST_FEATURES, baseline=CATALYST_WEIGHTS)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from barlight.config import SHORT_TERM, Outcome
 from barlight.functions.columns import rounded
-from barlight.operators import catalysts, markov, models, outcomes as oc, penalties, rescore as chain, scoring, stoprisk, stscore, training
+from barlight.operators import catalysts, markov, models, outcomes as oc, penalties, rescore as chain, scoring, stoprisk, stored, stscore, training
 from barlight.plans import inputs
+from barlight.plans.parameters import tables
 from barlight.plans.queries import query
 from barlight.session import durable
 
@@ -38,6 +39,7 @@ def buckets(spark, sf):
     return durable(training.penalty_buckets(outcomes(spark, sf)))
 
 
+SHORT_TERM_KINDS = ("logistic", "margin", "random_forest", "gbt")
 SCORES = ("signal_score", "score_trend", "score_setup", "score_volume", "score_rsi", "score_risk", "ma_slope_bonus", "consensus_count")
 
 
@@ -213,8 +215,14 @@ def st_onehot_state(spark, sf):
 
 
 def _probabilities():
-    base = c("signal_score") / 100.0
-    return {"logistic": base, "margin": base * base, "random_forest": c("score_trend") / 100.0, "gbt": c("score_setup") / 100.0}
+    """Calibrated probabilities of the four fitted models, from their stored parameter tables."""
+    return {kind: c(f"_p_{kind}") for kind in SHORT_TERM_KINDS}
+
+
+@inputs.plan_once
+def ensemble(spark, sf):
+    """Signals with the probabilities of the whole ensemble, scored in one pass and kept as a table."""
+    return durable(inputs.signals(spark, sf).withColumns({f"_p_{kind}": stored.probability(tables()["short_term"][kind]) for kind in SHORT_TERM_KINDS}))
 
 
 @query
@@ -226,12 +234,13 @@ def st_blend(spark, sf):
         "rescaled": stscore.blend({k: p[k] for k in ("logistic", "margin", "random_forest")}, stscore.blend_weights({"margin": 0.8, "random_forest": 0.6})),
         "missing": stscore.blend({k: p[k] for k in ("logistic", "gbt")}, stscore.blend_weights({"margin": 0.25, "random_forest": 0.25, "gbt": 0.25})),
     }
-    return inputs.signals(spark, sf).select(*K, *[rounded(v, 6).alias(f"p_{k}") for k, v in mixes.items()])
+    return ensemble(spark, sf).select(*K, *[rounded(v, 6).alias(f"p_{k}") for k, v in mixes.items()])
 
 
 def _uplift(spark, sf):
     p = stscore.blend(_probabilities(), stscore.blend_weights({"margin": 0.25, "random_forest": 0.25, "gbt": 0.25}))
-    return stscore.rank_uplift(inputs.signals(spark, sf).withColumn("probability", rounded(p, 6)))
+    scored = ensemble(spark, sf).withColumn("probability", rounded(p, 6))
+    return stscore.rank_uplift(scored.drop(*[f"_p_{kind}" for kind in SHORT_TERM_KINDS]))
 
 
 @query
@@ -327,6 +336,7 @@ CATALYST_WEIGHTS = {
     "post_event_gap_risk": -4.0, "event_proximity_score": 0.5,
 }
 REGIME_FLAGS = ("vix_regime_high", "flow_regime_weak", "energy_regime_shock")
+CATALYST_FEATURES = (*REGIME_FLAGS, "within_earnings_window", "within_dividend_window", "post_event_gap_risk", "event_proximity_score")
 
 
 @query
