@@ -6,8 +6,8 @@
 3. Nodes that share a minimum of one of three hashes are held against the smallest of them. Groups of near copies connect by these few links.
    Pairs whose signatures rule the similarity out are dropped unread.
 4. Nodes that share a prefix shingle meet in a *tile* of one size band, if they are not connected yet. A tile of many nodes is cut into chunks,
-   and pairs of chunks are tiles of their own. Bit counts of hashed signatures bound the overlap of a pair from above; what passes is
-   intersected exactly, as sorted arrays. First each tile gives out only as many pairs as would connect its nodes; the pairs that are
+   and pairs of chunks are tiles of their own. Bit counts of hashed signatures bound the overlap of a pair from above. Signatures have more bits a shingle for short
+   sets; pairs of long ones are held against larger sketches before their sets are built. What passes is intersected exactly, as sorted arrays. First each tile gives out only as many pairs as would connect its nodes; the pairs that are
    then still unconnected and untried are all held against each other.
 
 Shingles are 64-bit hashes. Sets are built again from their texts for those nodes alone that a pair asks for; texts are never shuffled.
@@ -27,7 +27,10 @@ from barlight.llm.common import slices
 from barlight.llm.components import components
 from barlight.session import durable
 
-SIGNATURE_BITS = 1024
+SIGNATURE_BYTES = 128
+"""Signature that the sets of a tile are compared by; shorter sets have finer ones, whose halves fold onto this size."""
+FINE = ((256, 512), (512, 256))
+"""(most shingles, bytes of the signature)."""
 COUNT_BUCKETS = 1 << 21
 COUNT_BLOCK = 1 << 16
 TILE_ROWS = 2048
@@ -105,14 +108,42 @@ def shingle_classes(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit: two signatures differ in at most as many bits as their sets in shingles."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & SIGNATURE_BITS - 1, minlength=SIGNATURE_BITS) & 1
+def signature(shingles: np.ndarray, size: int) -> bytes:
+    """Parity of the shingles that fall on each bit of *size* bytes: two signatures differ in at most as many bits as their sets in shingles."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & 8 * size - 1, minlength=8 * size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def tile_bytes(n: int) -> int:
+    return next((size for most, size in FINE if n <= most), SIGNATURE_BYTES)
+
+
+def pair_bytes(n: int) -> int:
+    """Bytes of the sketch that a single pair is held against: two to four bits a shingle, an eighth to a quarter of a byte each."""
+    return max(tile_bytes(n), 1 << max(0, n // 4).bit_length())
+
+
+def folded(signatures: list[bytes], size: int) -> np.ndarray:
+    """Signatures of *size* bytes or more as rows of that size. Halving XORs the halves, which is the parity on half as many bits."""
+    out = np.zeros((len(signatures), size // 8), np.uint64)
+    lengths = np.array([len(x) for x in signatures])
+    for length in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == length)
+        held = np.frombuffer(b"".join(signatures[row] for row in rows), np.uint64).reshape(len(rows), -1)
+        while held.shape[1] > size // 8:
+            held = held[:, : held.shape[1] // 2] ^ held[:, held.shape[1] // 2 :]
+        out[rows] = held
+    return out
+
+
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of *n* and *m* shingles with signatures *x* and *y* can be alike: bits that differ bound the overlap from above."""
+    bound = np.minimum((n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2, np.minimum(n, m))
+    return 100 * bound >= percent * (n + m - bound)
+
+
 def node_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n, node, signature, minima, keys) of every document; keys are the prefix shingles."""
+    """(doc_id, text_hash, n, node, signature, sketch, minima, keys) of every document; keys are the prefix shingles."""
     classes = docs.sparkSession.sparkContext.broadcast(shingle_classes(docs, width))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -120,24 +151,25 @@ def node_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
         table = classes.value
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), width)
-            nodes, bits, minima, keys = [], [], [], []
+            nodes, bits, sketches, minima, keys = [], [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
-                    for column in (nodes, bits, minima, keys):
+                    for column in (nodes, bits, sketches, minima, keys):
                         column.append(None)
                     continue
                 nodes.append(node_of(s))
-                bits.append(signature(s))
+                bits.append(signature(s, tile_bytes(n)))
+                sketches.append(signature(s, pair_bytes(n)) if pair_bytes(n) > tile_bytes(n) else None)
                 minima.append([int((mixed(s * np.uint64(m))).min().astype(np.int64)) for m in MINIMA])
                 first = n - -(-percent * n // 100) + 1
                 rare = table[(s & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
                 order = rare << np.uint64(56) | s >> np.uint64(8)  # ties in the upper 56 bits keep the order of s: the sort is stable
                 keys.append(s[np.argsort(order, kind="stable")[:first]].astype(np.int64))
-            columns = [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "signature", "minima", "keys"])
+            columns = [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(sketches, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "signature", "sketch", "minima", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, signature binary, minima array<long>, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, signature binary, sketch binary, minima array<long>, keys array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +190,10 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_pairs(tiles: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of unconnected nodes in each tile whose signatures allow the similarity; *forest*: only as many as would connect them."""
+    """Pairs of unconnected nodes in each tile whose signatures allow the similarity; *forest*: only as many as would connect them.
+
+    Column long tells pairs whose sketches may rule out more than the signatures of a tile.
+    """
     marks = ("key", "band", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +211,12 @@ def tile_pairs(tiles: DataFrame, percent: int, forest: bool) -> DataFrame:
         if held.num_rows < 2:
             return
         n, node, label, home, chunk = (held.column(c).to_numpy() for c in ("n", "node", "label", "home", "chunk"))
-        bits = np.frombuffer(b"".join(held.column("signature").to_pylist()), np.uint64).reshape(len(n), -1)
+        given = held.column("signature").to_pylist()
+        size = np.array([len(x) for x in given])
+        levels = []  # signatures at each size and the row of each node among them
+        for level in sorted({SIGNATURE_BYTES, *(x for _, x in FINE)}):
+            rows = np.flatnonzero(size >= level)
+            levels.append((level, np.searchsorted(rows, np.arange(len(size))), folded([given[row] for row in rows], level)))
         tile = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]).any(axis=1)]))
         across = ids[:, 2] != ids[:, 3]
         _, label = np.unique(label, return_inverse=True)
@@ -191,17 +231,18 @@ def tile_pairs(tiles: DataFrame, percent: int, forest: bool) -> DataFrame:
             left, right = left[near], right[near]
             ask = (root[group[left]] != root[group[right]]) & (home[left] | home[right]) & (~across[left] | (chunk[left] != chunk[right]))
             i, j = left[ask], right[ask]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            both = n[i] + n[j]
-            bound = (both - apart) // 2
-            i, j = (x[100 * bound >= percent * (both - bound)] for x in (i, j))
+            for level, row, bits in levels:
+                fine = np.flatnonzero((size[i] >= level) & (size[j] >= level))
+                out = np.ones(len(i), bool)
+                out[fine] = possible(bits[row[i[fine]]], bits[row[j[fine]]], n[i[fine]], n[j[fine]], percent)
+                i, j = i[out], j[out]
             if forest and len(i):
                 i, j = connecting(root, group, i, j)
             if len(i):
                 a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.maximum(n[i], n[j]) > FINE[-1][0])], ["a", "b", "long"])
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(run, "a long, b long, long boolean")
 
 
 def connecting(root: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,22 +283,33 @@ def open_tiles(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: i
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures allow to be alike."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("y"))
+    """The pairs (a, b) that sizes and sketches allow to be alike."""
+    sketch = F.coalesce("sketch", "signature")
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), sketch.alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), sketch.alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            bound = np.minimum((n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2, np.minimum(n, m))
-            yield batch.select(["a", "b"]).filter(pa.array(100 * bound >= percent * (n + m - bound)))
+            size = np.minimum([len(v) for v in x], [len(v) for v in y])
+            passed = np.zeros(batch.num_rows, bool)
+            for level in np.unique(size).tolist():
+                rows = np.flatnonzero(size == level)
+                passed[rows] = possible(folded([x[row] for row in rows], level), folded([y[row] for row in rows], level), n[rows], m[rows], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(passed))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def sifted(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of tiles; those of long sets are held against their sketches first, before any set is built."""
+    found = durable(found.distinct())
+    return durable(found.filter("not long").select("a", "b").union(plausible(found.filter("long").select("a", "b"), nodes, percent)))
+
+
 def sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the nodes that *pairs* name, built from the text of one of their documents.
 
@@ -305,9 +357,9 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
 
     posted = nodes.select("node", F.explode("keys").alias("key"))
     shared = durable(posted.join(posted.groupBy("key").count().filter("count > 1").select("key"), "key").select("key", "node"))
-    tried = durable(tile_pairs(open_tiles(shared, nodes, label, percent), percent, forest=True).distinct())
+    tried = sifted(tile_pairs(open_tiles(shared, nodes, label, percent), percent, forest=True), nodes, percent)
     second = durable(first.union(alike(tried, sets_of(docs, tried, nodes, width), percent)))
-    left = tile_pairs(open_tiles(shared, nodes, components(second), percent), percent, forest=False).distinct()
+    left = sifted(tile_pairs(open_tiles(shared, nodes, components(second), percent), percent, forest=False), nodes, percent)
     left = durable(left.join(tried, ["a", "b"], "left_anti"))
     return members, durable(second.union(alike(left, sets_of(docs, left, nodes, width), percent)))
 
