@@ -307,7 +307,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def sifted(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of tiles; those of long sets are held against their sketches first, before any set is built."""
     found = durable(found.distinct())
-    return durable(found.filter("not long").select("a", "b").union(plausible(found.filter("long").select("a", "b"), nodes, percent)))
+    long = plausible(found.filter("long").select("a", "b"), nodes.filter(F.col("n") > math.floor(FINE[-1][0] * percent / 100)), percent)  # a partner's size is at least that
+    return durable(found.filter("not long").select("a", "b").union(long))
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
