@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlight.llm import line_templates, ngram_join, packing, quality, rules
+from barlight.llm.common import small_batches
 from barlight.llm.queries import VOCABULARY
 from barlight.session import durable
 from barlight.sources.derived import table
@@ -18,11 +19,13 @@ from barlight.sources.derived import table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
+    small_batches(spark)
     return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
+    small_batches(spark)
     return rules.keep(docs)
 
 
@@ -34,11 +37,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    small_batches(spark)
     return ngram_join.first_of_each(docs, width=5, percent=80)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, VOCABULARY)
 
 
