@@ -259,10 +259,10 @@ def _emit(family: str, hit: Hit) -> Column:
     return F.when(hit.when, row)
 
 
-def detect(features: DataFrame, families: tuple = FAMILIES, cfg: Detection = Detection(), context: tuple = ()) -> DataFrame:
-    """Signals of *families* for every date at once."""
+def detect(features: DataFrame, families: tuple = FAMILIES, cfg: Detection = Detection(), context: tuple = (), detectors: dict | None = None) -> DataFrame:
+    """Signals of *families* for every date at once; *detectors* are the built-in ones unless given."""
     source = with_contractions(features, cfg) if "G" in families else features
-    hits = F.array_compact(F.array(*[_emit(f, DETECTORS[f](cfg)) for f in families]))
+    hits = F.array_compact(F.array(*[_emit(f, (detectors or DETECTORS)[f](cfg)) for f in families]))
     keep = list(dict.fromkeys(("ticker", "date", "sma50_slope_pct", *context)))
     rows = source.select(*keep, F.explode(hits).alias("_hit")).select(*keep, "_hit.*")
     bonus = slope_bonus(c("sma50_slope_pct"))

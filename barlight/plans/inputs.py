@@ -9,7 +9,7 @@ from functools import lru_cache, wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlight.config import COVERAGE_SCAN
-from barlight.operators import candles, indicators, patterns
+from barlight.operators import candles, indicators, registry
 from barlight.session import durable
 from barlight.sources import derived
 from barlight.sources.derived import table
@@ -60,7 +60,7 @@ def candle_bars(spark: SparkSession, sf: str) -> DataFrame:
 @plan_once
 def scan(spark: SparkSession, sf: str) -> DataFrame:
     """The full detection plan, from the raw table to signals."""
-    return patterns.scan(features(spark, sf), COVERAGE_SCAN)
+    return registry.REGISTERED[0].scan(features(spark, sf), COVERAGE_SCAN)
 
 
 @plan_once
