@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlight.functions.columns import as_int, business_ordinal, rounded
-from barlight.functions.ranks import quantiles, rank_auc, spearman
+from barlight.functions.ranks import add_average_rank, quantiles, rank_auc, spearman
 from barlight.session import durable
 
 c = F.col
@@ -63,9 +63,63 @@ def blend_grid(two: list[tuple[str, str]], three: tuple[str, str, str] | None =
     return grid
 
 
+def score_counts(rows: DataFrame, scores: dict[str, Column], key: str, ret: str = "return_pct", status: str = "status") -> DataFrame:
+    """One row per (score definition, score): rows, rows with a return, closed rows, hits, and sums of returns and of their ranks.
+
+    For scores on a known grid, whose number of values doesn't grow with the rows: each task merges its rows into counts before anything moves. Returns are
+    ranked once, for all definitions.
+    """
+    ranked = add_average_rank(rows, ret, "_rank")
+    share = c("_rank") / c("_rank_n")
+    long = explode_scores(ranked.withColumn("_share", share), scores, (ret, status, "_share"), key)
+    done = c(status).isin("target", "stop")
+    return long.groupBy(key, "score").agg(
+        F.count("*").alias("n"), F.count(ret).alias("n_ret"), F.count_if(done).alias("closed"), F.count_if(c(status) == "target").alias("hits"), F.sum(ret).alias("sum_ret"),
+        F.sum("_share").alias("sum_rank"), F.sum(c("_share") * c("_share")).alias("sum_rank2"),
+    )
+
+
+def count_metrics(counts: DataFrame, key: str) -> DataFrame:
+    """The measures of ranking_metrics from a table of score_counts. A definition's rows are bounded by the grid of its scores."""
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    table = counts.withColumns({
+        "_below": below("n"), "_total": F.sum("n").over(whole), "_n": F.sum("n_ret").over(whole),
+        "_score_rank": below("n_ret") + (c("n_ret") + 1) / 2, "_closed_rank": below("closed") + (c("closed") + 1) / 2,
+    })
+
+    def quantile(p: float) -> Column:
+        at = F.lit(p) * (c("_total") - 1)
+        value = lambda i: F.max(F.when((c("_below") <= i) & (i < c("_below") + c("n")), c("score"))).over(whole)
+        low, high = value(F.floor(at)), value(F.ceil(at))
+        return low + (high - low) * (at - F.floor(at))
+
+    table = table.withColumns({"q_low": quantile(0.2), "q_high": quantile(0.8), "_x": c("_score_rank") / c("_n")})
+    top, bottom = c("score") >= c("q_high") - 1e-9, c("score") <= c("q_low") + 1e-9
+    part = lambda where, x: F.sum(F.when(where, c(x)))
+    rate = lambda where: part(where, "hits") * 100.0 / F.nullif(part(where, "closed"), F.lit(0))
+    mean = lambda where: part(where, "sum_ret") / F.nullif(part(where, "n_ret"), F.lit(0))
+    s = table.groupBy(key).agg(
+        F.sum("n").alias("n_scored"), F.sum("closed").alias("n_closed_scored"), F.sum("hits").alias("_p"), F.sum(c("hits") * c("_closed_rank")).alias("_r"),
+        F.sum("n_ret").alias("_n"), F.sum(c("n_ret") * c("_x")).alias("_sx"), F.sum("sum_rank").alias("_sy"), F.sum(c("_x") * c("sum_rank")).alias("_sxy"),
+        F.sum(c("n_ret") * c("_x") * c("_x")).alias("_sxx"), F.sum("sum_rank2").alias("_syy"),
+        (rate(top) - rate(bottom)).alias("win_rate_lift_pp"), (mean(top) - mean(bottom)).alias("return_spread_pct"),
+    )
+    p, q, n = c("_p"), c("n_closed_scored") - c("_p"), c("_n")
+    spread = F.sqrt((n * c("_sxx") - c("_sx") * c("_sx")) * (n * c("_syy") - c("_sy") * c("_sy")))
+    return s.select(
+        key, "n_scored", "n_closed_scored", "win_rate_lift_pp", "return_spread_pct", ((c("_r") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0))).alias("auc"),
+        ((n * c("_sxy") - c("_sx") * c("_sy")) / F.nullif(spread, F.lit(0.0))).alias("rank_ic"),
+    )
+
+
 def blend_sweep(rows: DataFrame, grid: dict[str, dict[str, float]]) -> DataFrame:
+    """Ranking metrics of every blend of *grid*. Rows are counted per blend and score where they lie; no copy of them is written."""
     scores = {k: rounded(sum((F.coalesce(c(m), F.lit(0.0)) * w for m, w in v.items()), F.lit(0.0)), 6) for k, v in grid.items()}
-    return ranking_metrics(durable(explode_scores(rows, scores, key="blend_id")), ["blend_id"], "score")
+    members = dict.fromkeys(m for v in grid.values() for m in v)
+    counts = score_counts(rows.select("return_pct", "status", *members), scores, "blend_id")
+    return count_metrics(durable(counts), "blend_id")
 
 
 def tail_rates(rows: DataFrame, score: str, label: str, q: float = 0.2, keys: tuple = ()) -> DataFrame:
