@@ -13,6 +13,7 @@ from barlight.session import run_folder
 from barlight.sources.upserts import keep_last
 from barlight.streaming.bars import run_to_table, ticks_to_bars
 from barlight.streaming.incremental import Store, incremental_scan, run_available
+from barlight.streaming.monthstore import MonthStore
 from barlight.streaming.positions import OUTPUT, bar_events, run_tracking, signal_events
 
 c = F.col
@@ -51,7 +52,7 @@ def _replay(spark, sf, body, home):
 def str_incremental(spark, sf):
     home = _folder(spark)
     store = Store(spark, f"{home}/signals")
-    _replay(spark, sf, incremental_scan(Store(spark, f"{home}/bars"), store), home)
+    _replay(spark, sf, incremental_scan(MonthStore(spark, f"{home}/bars"), store), home)
     columns = (*patterns.SIGNAL_COLUMNS, "consensus_count")
     rows = store.read(inputs.signals(spark, sf).select(*columns).schema)
     return keep_last(rows, ["signal_date", "ticker", "pattern"], "batch").select(*columns)

@@ -10,12 +10,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlight.config import COVERAGE_SCAN, Backtest, Detection
 from barlight.operators import outcomes as oc, patterns
 from barlight.operators.indicators import feature_table
-from barlight.sources.upserts import keep_last
+from barlight.streaming.monthstore import MonthStore
 
 c = F.col
 # The longest plain window of the feature table (a year of bars and its shift) and the slowest exponential average (Wilder 14 and MACD 26).
@@ -50,24 +50,14 @@ class Store:
         return rows if upto is None else rows.filter(c("batch") <= upto)
 
 
-def relevant_history(stored: DataFrame, fresh: DataFrame, bars: int) -> DataFrame:
-    """Stored and new bars of the instruments that moved: everything new and the *bars* before it."""
-    first = fresh.groupBy("ticker").agg(F.min("date").alias("_first"))
-    keyed = keep_last(stored.join(first, "ticker"), ["ticker", "date"], "batch")
-    back = F.count_if(c("date") < c("_first")).over(
-        Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return keyed.withColumn("_back", back).filter(c("_back") <= bars).drop("_back", "_first", "batch")
-
-
-def incremental_scan(bar_store: Store, signal_store: Store, cfg: Detection = COVERAGE_SCAN) -> Callable[[DataFrame, int], None]:
+def incremental_scan(bar_store: MonthStore, signal_store: Store, cfg: Detection = COVERAGE_SCAN) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: store the new bars, scan only their dates, write their signals."""
 
     def body(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         bar_store.put(batch, batch_id)
-        history = relevant_history(bar_store.read(batch.schema, upto=batch_id), batch, lookback_bars(cfg))
+        history = bar_store.history(batch, lookback_bars(cfg), batch_id)
         signals = patterns.scan(feature_table(history, cfg), cfg, context=("bar_no",))
         fresh = batch.select("ticker", c("date").alias("signal_date")).distinct()
         signal_store.put(signals.drop("bar_no").join(fresh, ["ticker", "signal_date"], "left_semi"), batch_id)
