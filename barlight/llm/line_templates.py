@@ -31,6 +31,8 @@ PROBES = 8
 SKETCH = 12
 """Hashed word pairs kept of each line, the smallest; the first PROBES of a line are looked up among all of the other text."""
 NEAR = 0.55
+LIKE_SIZE = 0.6
+"""Share of the longer text's length from which on a text that is held by the other counts as its near copy."""
 
 
 def masked(line: Column) -> Column:
@@ -95,15 +97,20 @@ def recurring(docs: DataFrame, held: DataFrame) -> DataFrame:
     """
     texts = line_sketches(docs, held)
     left = apart(held.groupBy("template", "h", "size").agg(F.max("total").alias("total"), F.max("tokens").alias("tokens")), texts)
-    found = left.filter(F.col("tokens") >= LONG).select("template")
-    left = left.filter(F.col("tokens") < LONG)
+    two = (F.col("tokens") >= LONG) & F.col("unlike")
+    found = left.filter(two).select("template")
+    left = left.filter(~two)
     for _ in range(MIN_TEXTS - 2):
-        left = apart(left, texts)
+        left = apart(left.drop("unlike"), texts)
     return found.union(left.select("template")).distinct()
 
 
 def apart(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of *left* (template, h, size, total, tokens) whose texts are no near copies of their template's text of most lines."""
+    """The rows of *left* (template, h, size, total, tokens) whose texts are no near copies of their template's text of most lines.
+
+    Near copies hold most of each other's own lines; of texts of like size one direction is enough, so a shortened copy is one, but not a text that
+    a digest quotes among others. Column unlike tells texts of which neither holds the other's lines.
+    """
     lead = left.groupBy("template").agg(F.max(F.struct("total", "h", "size")).alias("lead"))
     led = durable(left.join(lead, "template").select("template", "h", "size", "total", "tokens", F.col("lead.h").alias("h2"), F.col("lead.size").alias("size2")).filter("h != h2 or size != size2"))
     first = texts.select("h", "size", F.col("sketches").alias("x"), F.col("held").alias("x_held"))
@@ -119,8 +126,10 @@ def apart(left: DataFrame, texts: DataFrame) -> DataFrame:
         own = F.transform(F.filter(side, unknown(f"{side}_known")), lambda line: F.slice(line, 1, PROBES))
         pairs = pairs.withColumn(f"{side}_own", F.explode(F.array(F.array_distinct(F.flatten(own)))))
     found = lambda own, other: F.size(F.array_intersect(own, F.flatten(other))) >= NEAR * F.size(own)
-    far = pairs.filter(~(found("x_own", "y") | found("y_own", "x"))).select("h", "size", "h2", "size2")
-    return durable(led.join(durable(far), ["h", "size", "h2", "size2"]).select("template", "h", "size", "total", "tokens"))
+    alike = F.least("size", "size2") >= LIKE_SIZE * F.greatest("size", "size2")
+    pairs = pairs.select("h", "size", "h2", "size2", alike.alias("alike"), found("x_own", "y").alias("x_in"), found("y_own", "x").alias("y_in"))
+    far = pairs.filter(~((F.col("x_in") & F.col("y_in")) | (F.col("alike") & (F.col("x_in") | F.col("y_in"))))).withColumn("unlike", ~(F.col("x_in") | F.col("y_in"))).drop("alike", "x_in", "y_in")
+    return durable(led.join(durable(far), ["h", "size", "h2", "size2"]).select("template", "h", "size", "total", "tokens", "unlike"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
@@ -135,14 +144,16 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     several = parsed.groupBy("template").agg(F.min(F.struct("h", "size")).alias("low"), F.max(F.struct("h", "size")).alias("high")).filter("low != high").select("template")
     held = durable(parsed.join(several, "template"))
     gone = held.join(recurring(docs, held), "template").groupBy("h", "size").agg(F.collect_set("position").alias("gone"))
-    keyed = docs.drop("n_lines", "n_dropped").withColumns({"_h": F.xxhash64("text"), "_size": F.length("text")})
-    gone = gone.select(F.col("h").alias("_h"), F.col("size").alias("_size"), F.col("gone").alias("_gone"))
-    joined = keyed.join(gone, ["_h", "_size"], "left").withColumn("_lines", F.split("text", "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = {x: f"{x}{'_' * max(map(len, kept))}" for x in ("h", "size", "gone", "lines")}  # longer than any column of docs
+    keyed = docs.select(*kept).withColumns({own["h"]: F.xxhash64("text"), own["size"]: F.length("text")})
+    gone = gone.select(*[F.col(x).alias(own[x]) for x in ("h", "size", "gone")])
+    joined = keyed.join(gone, [own["h"], own["size"]], "left").withColumn(own["lines"], F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(own["lines"]) - 1), F.col(own["gone"]))
+    rest = F.array_join(F.transform(left, lambda i: F.get(own["lines"], i)), "\n")
     out = joined.withColumns({
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest),
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
-        "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        "text": F.when(F.col(own["gone"]).isNull(), F.col("text")).otherwise(rest),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(own["lines"])).cast("long"),
+        "n_dropped": F.coalesce(F.size(own["gone"]), F.lit(0)).cast("long"),
     })
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return out.select(*kept, "n_lines", "n_dropped")

@@ -293,6 +293,28 @@ def test_near_copies_do_not_shield_a_passage(spark):
     assert all(passage not in got[100 + i] and base[0] in got[100 + i] and base[3] in got[100 + i] for i in range(60))
 
 
+def test_a_collecting_text_does_not_shield_a_passage(spark):
+    passage = "A passage that eight texts and a digest of them hold"
+    texts = {i: f"{unlike(i, 0)}\n{passage}\n{unlike(i, 1)}" for i in range(8)}
+    digest = "\n".join(texts.values())
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(spark, [*texts.items(), (99, digest)])).collect()}
+    assert all(got[i] == f"{unlike(i, 0)}\n{unlike(i, 1)}" for i in range(8))  # what only a text and the digest hold stays
+    assert got[99] == "\n".join(f"{unlike(i, 0)}\n{unlike(i, 1)}" for i in range(8))
+    long = f"{unlike(70, 0)} {unlike(71, 0)}"
+    whole = {i: f"{unlike(i, 0)} {unlike(i, 2)}\n{long}\n{unlike(i, 1)}" for i in range(8)}
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(spark, [*whole.items(), (99, "\n".join(whole.values()))])).collect()}
+    assert all(got[i] == f"{unlike(i, 0)} {unlike(i, 2)}\n{unlike(i, 1)}" for i in range(8))  # a long line of a text and its digest stays, too
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"{unlike(i, 0)}\nSubscribe to our letter today please", i, f"h{i}", -i, [i], None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _size long, _h string, h long, _lines array<long>, n_lines long")
+    got = line_templates.drop_recurring_lines(frame)
+    assert got.columns == ["doc_id", "text", "_size", "_h", "h", "_lines", "n_lines", "n_dropped"]
+    assert {(r["doc_id"], r["_size"], r["_h"], r["h"], r["_lines"][0]) for r in got.collect()} == {(i, i, f"h{i}", -i, i) for i in range(5)}
+    assert all(r["text"] == unlike(r["doc_id"], 0) and r["n_lines"] == 2 and r["n_dropped"] == 1 for r in got.collect())
+
+
 def test_long_passages_of_two_texts_go(spark):
     passage = f"{unlike(60, 0)} {unlike(61, 0)}"
     rows = [(i, f"{unlike(i, 0)}\n{passage}\nShort and in two texts\n{unlike(i, 1)}") for i in range(2)]
