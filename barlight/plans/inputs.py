@@ -69,10 +69,13 @@ def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     return durable(bars(spark, sf))
 
 
+STATE_FEATURES = ("ticker", "date", "open", "high", "low", "close", "sma20", "sma50", "sma200", "prev20_close", "ret_20", "rsi_full")
+
+
 @plan_once
 def stored_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature table as a deployment keeps it next to the bars."""
-    return durable(features(spark, sf))
+    """What states and breadth read of the feature table, as a deployment keeps it next to the bars; other features are never computed for it."""
+    return durable(features(spark, sf).select(*STATE_FEATURES))
 
 
 @plan_once
