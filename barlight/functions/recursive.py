@@ -2,7 +2,8 @@
 
 e_t = a*x_t + (1-a)*e_{t-1} is a running sum inside a block of bars plus the decayed value of the block before.
 Block-end values further back than the float precision of the decay cannot change the result, so each block
-folds a short list of earlier block ends. Everything stays in the JVM and reuses the per-ticker shuffle.
+folds a short list of earlier block ends. Everything stays in the JVM and reuses the per-ticker shuffle. Histories known
+to be short need no blocks: their weights fit into one running sum.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from barlight.functions.columns import frame
+
 BLOCK = 64
 
 
@@ -28,13 +31,36 @@ class Ewm:
     def decay(self) -> float:
         return 1.0 - self.alpha
 
+    @property
+    def longest(self) -> int:
+        """Bars over which the weights of a plain running sum stay far within the range of a double."""
+        return math.floor(math.log(1e280) / -math.log(self.decay))
+
     @property
     def history_blocks(self) -> int:
         return max(2, math.ceil(math.log(1e-18) / (BLOCK * math.log(self.decay))))
 
 
-def add_ewm(df: DataFrame, specs: list[Ewm]) -> DataFrame:
-    """Add one column per spec. Needs ticker, bar_no (1, 2, ...) and gap-free sources."""
+def _running(df: DataFrame, specs: list[Ewm]) -> DataFrame:
+    """One running sum per average over the time order of a ticker, which every other indicator uses too: no sort of its own."""
+    age = (F.col("bar_no") - 1).cast("double")
+
+    def value(s: Ewm):
+        weight = F.when(F.col("bar_no") == s.start, F.lit(1.0)).otherwise(F.lit(s.alpha))
+        term = F.coalesce(F.col(s.source), F.lit(0.0)) * weight * F.pow(F.lit(1.0 / s.decay), age)
+        total = F.sum(term).over(frame(Window.unboundedPreceding, 0))
+        return F.when(F.col("bar_no") >= s.start, total * F.pow(F.lit(s.decay), age))
+
+    return df.withColumns({s.name: value(s) for s in specs})
+
+
+def add_ewm(df: DataFrame, specs: list[Ewm], longest: int | None = None) -> DataFrame:
+    """Add one column per spec. Needs ticker, bar_no (1, 2, ...) and gap-free sources.
+
+    With *longest*, the bars of the longest history, known and short enough for plain running sums, blocks and the sorts by them are spared.
+    """
+    if longest is not None and longest <= min(s.longest for s in specs):
+        return _running(df, specs)
     block = F.floor((F.col("bar_no") - 1) / BLOCK).cast("int")
     offset = ((F.col("bar_no") - 1) % BLOCK).cast("double")
     in_block = Window.partitionBy("ticker", "_block").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -54,8 +54,8 @@ def wilder_rsi(gain: str = "avg_gain", loss: str = "avg_loss", *, zero_loss: flo
     return F.when(F.col("bar_no") > min_bars, value)
 
 
-def recursive_columns(numbered: DataFrame) -> DataFrame:
-    """EMA 12/26/20, MACD with its signal line, and Wilder gain/loss averages."""
+def recursive_columns(numbered: DataFrame, longest: int | None = None) -> DataFrame:
+    """EMA 12/26/20, MACD with its signal line, and Wilder gain/loss averages; *longest* as in ``add_ewm``."""
     delta = F.col("close") - lagged("close")
     out = numbered.withColumn("_delta", delta).withColumns(
         {"_gain": F.greatest("_delta", F.lit(0.0)), "_loss": F.greatest(-F.col("_delta"), F.lit(0.0))}
@@ -69,8 +69,9 @@ def recursive_columns(numbered: DataFrame) -> DataFrame:
             Ewm("avg_gain", "_gain", 1 / 14, start=2),
             Ewm("avg_loss", "_loss", 1 / 14, start=2),
         ],
+        longest,
     ).withColumn("macd", F.col("ema12") - F.col("ema26"))
-    out = add_ewm(out, [Ewm("signal9", "macd", 0.2)])
+    out = add_ewm(out, [Ewm("signal9", "macd", 0.2)], longest)
     return out.withColumns(
         {
             "rsi": wilder_rsi(min_bars=14),
@@ -166,7 +167,15 @@ def _pivot(fn, col: str, span: int, *, high: bool) -> Column:
     return full & ((v > b) & (v >= a) if high else (v < b) & (v <= a))
 
 
-def feature_table(bars: DataFrame, cfg: Detection = Detection()) -> DataFrame:
-    """All indicators of every bar after a single shuffle by ticker; detectors then are plain filters."""
-    out = frame_columns(recursive_columns(number_bars(bars)), cfg)
+def longest_history(bars: DataFrame) -> int:
+    """Bars of the ticker that has most."""
+    return bars.groupBy("ticker").count().agg(F.max("count")).first()[0] or 0
+
+
+def feature_table(bars: DataFrame, cfg: Detection = Detection(), longest: int | None = None) -> DataFrame:
+    """All indicators of every bar after a single shuffle by ticker; detectors then are plain filters.
+
+    With *longest*, the bars of the longest history, the recursive averages of short histories need no sort of their own.
+    """
+    out = frame_columns(recursive_columns(number_bars(bars), longest), cfg)
     return out.withColumns({"macd_prev": lagged("macd"), "signal9_prev": lagged("signal9"), "rsi_prev": lagged("rsi")})

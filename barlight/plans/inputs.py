@@ -69,19 +69,26 @@ def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     return durable(bars(spark, sf))
 
 
+@plan_once
+def kept_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table over the stored bars, whose longest history is known."""
+    kept = stored_bars(spark, sf)
+    return indicators.feature_table(kept, longest=indicators.longest_history(kept))
+
+
 STATE_FEATURES = ("ticker", "date", "open", "high", "low", "close", "sma20", "sma50", "sma200", "prev20_close", "ret_20", "rsi_full")
 
 
 @plan_once
 def stored_features(spark: SparkSession, sf: str) -> DataFrame:
     """What states and breadth read of the feature table, as a deployment keeps it next to the bars; other features are never computed for it."""
-    return durable(features(spark, sf).select(*STATE_FEATURES))
+    return durable(kept_features(spark, sf).select(*STATE_FEATURES))
 
 
 @plan_once
 def signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored signal history: the detection result as a written table."""
-    return durable(scan(spark, sf))
+    """Stored signal history: the stored bars' detection result as a written table."""
+    return durable(registry.REGISTERED[0].scan(kept_features(spark, sf), COVERAGE_SCAN))
 
 
 @plan_once
