@@ -9,9 +9,10 @@ to be short need no blocks: their weights fit into one running sum.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlight.functions.columns import frame
 
@@ -41,17 +42,21 @@ class Ewm:
         return max(2, math.ceil(math.log(1e-18) / (BLOCK * math.log(self.decay))))
 
 
-def _running(df: DataFrame, specs: list[Ewm]) -> DataFrame:
-    """One running sum per average over the time order of a ticker, which every other indicator uses too: no sort of its own."""
+def running_average(s: Ewm, over=None, ago: int = 0) -> Column:
+    """The average as one running sum over the time order of a ticker, which every other indicator uses too: no sort of its own.
+
+    The value *ago* bars earlier is the same over a frame that ends there.
+    """
     age = (F.col("bar_no") - 1).cast("double")
+    weight = F.when(F.col("bar_no") == s.start, F.lit(1.0)).otherwise(F.lit(s.alpha))
+    term = F.coalesce(F.col(s.source), F.lit(0.0)) * weight * F.pow(F.lit(1.0 / s.decay), age)
+    total = F.sum(term).over(over or frame(Window.unboundedPreceding, 0))
+    return F.when(F.col("bar_no") >= s.start + ago, total * F.pow(F.lit(s.decay), age - ago))
 
-    def value(s: Ewm):
-        weight = F.when(F.col("bar_no") == s.start, F.lit(1.0)).otherwise(F.lit(s.alpha))
-        term = F.coalesce(F.col(s.source), F.lit(0.0)) * weight * F.pow(F.lit(1.0 / s.decay), age)
-        total = F.sum(term).over(frame(Window.unboundedPreceding, 0))
-        return F.when(F.col("bar_no") >= s.start, total * F.pow(F.lit(s.decay), age))
 
-    return df.withColumns({s.name: value(s) for s in specs})
+def fit_running(longest: int | None, specs: Sequence[Ewm]) -> bool:
+    """Whether a history of *longest* bars, if known, is short enough for plain running sums."""
+    return longest is not None and longest <= min(s.longest for s in specs)
 
 
 def add_ewm(df: DataFrame, specs: list[Ewm], longest: int | None = None) -> DataFrame:
@@ -59,8 +64,8 @@ def add_ewm(df: DataFrame, specs: list[Ewm], longest: int | None = None) -> Data
 
     With *longest*, the bars of the longest history, known and short enough for plain running sums, blocks and the sorts by them are spared.
     """
-    if longest is not None and longest <= min(s.longest for s in specs):
-        return _running(df, specs)
+    if fit_running(longest, specs):
+        return df.withColumns({s.name: running_average(s) for s in specs})
     block = F.floor((F.col("bar_no") - 1) / BLOCK).cast("int")
     offset = ((F.col("bar_no") - 1) % BLOCK).cast("double")
     in_block = Window.partitionBy("ticker", "_block").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)

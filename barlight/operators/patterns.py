@@ -7,6 +7,8 @@ is inlined, so the feature table is scanned once however many detectors run.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -143,7 +145,10 @@ def family_f(cfg: Detection) -> Hit:
 
 
 def _add_pivots(features: DataFrame, cfg: Detection) -> DataFrame:
-    """Pivots inside the base before each bar, oldest first (the window holds at most base_lookback bars)."""
+    """Pivots inside the base before each bar, oldest first (the window holds at most base_lookback bars).
+
+    Bars may be left out of *features* unless they are pivots: a window of as many of the bars that are left reaches at least as far back.
+    """
     span = cfg.pivot_span
     pivot = F.struct(
         c("bar_no").alias("no"),
@@ -152,8 +157,10 @@ def _add_pivots(features: DataFrame, cfg: Detection) -> DataFrame:
         c("cum_volume").alias("cum"),
         c("volume").alias("vol"),
     )
-    window = frame(-(cfg.base_lookback - span), -(span + 1))
-    return features.withColumn("_pivots", F.collect_list(F.when(c("pivot_high") | c("pivot_low"), pivot)).over(window))
+    first, last = cfg.base_lookback - span, span + 1
+    seen = F.collect_list(F.when(c("pivot_high") | c("pivot_low"), pivot)).over(frame(-first, -1))
+    inside = F.filter("_seen", lambda p: (p["no"] >= c("bar_no") - first) & (p["no"] <= c("bar_no") - last))
+    return features.withColumn("_seen", seen).withColumn("_pivots", inside).drop("_seen")
 
 
 def _pullbacks(pivots: Column) -> Column:
@@ -203,13 +210,35 @@ def _pullbacks(pivots: Column) -> Column:
     return F.aggregate(pivots, empty, step, finish)
 
 
+def _breakout() -> Column:
+    """Closes above its 20-bar high in an uptrend."""
+    return _trend() & (c("close") > c("sma50")) & (c("close") > c("high20")) & c("swing_low10").isNotNull()
+
+
 def with_contractions(features: DataFrame, cfg: Detection = Detection()) -> DataFrame:
     """Add the last three pullbacks of the base to bars that close above their 20-bar high in an uptrend."""
-    breakout = _trend() & (c("close") > c("sma50")) & (c("close") > c("high20")) & c("swing_low10").isNotNull()
-    out = _add_pivots(features, cfg).withColumn("_pulls", F.when(breakout, _pullbacks(c("_pivots"))))
+    out = _add_pivots(features, cfg).withColumn("_pulls", F.when(_breakout(), _pullbacks(c("_pivots"))))
     return out.withColumn("pulls", F.when(F.size("_pulls") >= 3, F.slice("_pulls", -3, 3))).drop("_pulls", "_pivots")
 
 
+def _candidates(features: DataFrame, families: tuple, cfg: Detection, detectors: dict) -> DataFrame:
+    """The bars at which a family may hit, with the contractions if family G is wanted: few bars, so that what follows sees few.
+
+    The conditions of the built-in families but G need nothing but features. A plug-in may read the contractions too, so all bars stay for it.
+    """
+    contractions = "G" in families
+    if any(f not in DETECTORS for f in families):
+        return with_contractions(features, cfg) if contractions else features
+    may = [_breakout() if f == "G" else detectors[f](cfg).when for f in families]
+    hit = F.coalesce(reduce(or_, may), F.lit(False))
+    if not contractions:
+        return features.filter(hit)
+    kept = features.withColumn("_may", hit).filter(c("_may") | c("pivot_high") | c("pivot_low"))
+    seen = _add_pivots(kept, cfg).filter("_may").drop("_may")
+    pulls = seen.withColumn("_pulls", F.when(_breakout(), _pullbacks(c("_pivots"))))
+    return pulls.withColumn("pulls", F.when(F.size("_pulls") >= 3, F.slice("_pulls", -3, 3))).drop("_pulls", "_pivots")
+
+
 def family_g(cfg: Detection) -> Hit:
     first, second, last = (c("pulls")[i] for i in range(3))
     resistance = F.greatest(c("high20"), first["high"], second["high"], last["high"])
@@ -261,8 +290,9 @@ def _emit(family: str, hit: Hit) -> Column:
 
 def detect(features: DataFrame, families: tuple = FAMILIES, cfg: Detection = Detection(), context: tuple = (), detectors: dict | None = None) -> DataFrame:
     """Signals of *families* for every date at once; *detectors* are the built-in ones unless given."""
-    source = with_contractions(features, cfg) if "G" in families else features
-    hits = F.array_compact(F.array(*[_emit(f, (detectors or DETECTORS)[f](cfg)) for f in families]))
+    detectors = detectors or DETECTORS
+    source = _candidates(features, families, cfg, detectors)
+    hits = F.array_compact(F.array(*[_emit(f, detectors[f](cfg)) for f in families]))
     keep = list(dict.fromkeys(("ticker", "date", "sma50_slope_pct", *context)))
     rows = source.select(*keep, F.explode(hits).alias("_hit")).select(*keep, "_hit.*")
     bonus = slope_bonus(c("sma50_slope_pct"))

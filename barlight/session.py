@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,22 @@ def end_run(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+COMPILED_METHOD_BYTES = 8000
+"""The JVM never compiles a larger method; a step whose rows are so wide that whole-stage code would need one is quicker operator by operator."""
+
+
+@contextmanager
+def compiled_steps(spark: SparkSession):
+    """Run what is written inside without generated methods that the JVM would only interpret; the session's own setting comes back afterwards."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), COMPILED_METHOD_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Hand *df* over as a written table in the checkpoint folder.
 
@@ -68,5 +85,6 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with compiled_steps(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
