@@ -28,6 +28,11 @@ def pct_change(now: Column, then: Column) -> Column:
     return (now / F.nullif(then, F.lit(0.0)) - 1.0) * 100.0
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with *value* computed once a row. A function over array elements computes what it reads from outside anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def as_flag(condition: Column) -> Column:
     """Boolean that is never null: an unknown comparison is false."""
     return F.coalesce(condition, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlight.config import StopRiskPolicy
-from barlight.functions.columns import as_int, clip, pct_change, rounded
+from barlight.functions.columns import as_int, bound, clip, pct_change, rounded
 from barlight.functions.ranks import quantiles
 
 c = F.col
@@ -74,8 +74,8 @@ def step_calibration(p: Column, steps: list[tuple[float, float]]) -> Column:
     if not steps:
         return p
     table = F.array(*[F.struct(F.lit(float(upper)).alias("upper"), F.lit(float(value)).alias("value")) for upper, value in steps])
-    first = F.try_element_at(F.filter(table, lambda s: p <= s["upper"]), F.lit(1))
-    return F.when(p.isNotNull(), F.coalesce(first["value"], F.lit(float(steps[-1][1]))))
+    first = lambda p: F.try_element_at(F.filter(table, lambda s: p <= s["upper"]), F.lit(1))
+    return bound(p, lambda p: F.when(p.isNotNull(), F.coalesce(first(p)["value"], F.lit(float(steps[-1][1])))))
 
 
 def risk_penalty(risk: Column, policy: StopRiskPolicy = StopRiskPolicy()) -> Column:

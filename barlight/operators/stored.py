@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlight.config import FAMILIES
-from barlight.functions.columns import as_int
+from barlight.functions.columns import as_int, bound
 from barlight.operators import models
 from barlight.operators.stoprisk import sigmoid
 from barlight.session import run_folder
@@ -64,11 +64,14 @@ def walk(nodes: list[list[float]], x: Column) -> Column:
     feature, threshold, left, right, value = column(2, "int"), column(3, "double"), column(4, "int"), column(5, "int"), column(6, "double")
     at = lambda array, i: F.get(array, i)
 
-    def down(node: Column, _: Column) -> Column:
-        return F.when(at(feature, node) < 0, node).when(at(x, at(feature, node)) <= at(threshold, node), at(left, node)).otherwise(at(right, node))
+    def total_of(x: Column) -> Column:
+        def down(node: Column, _: Column) -> Column:
+            return F.when(at(feature, node) < 0, node).when(at(x, at(feature, node)) <= at(threshold, node), at(left, node)).otherwise(at(right, node))
 
-    leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, down) if depth else root
-    return F.aggregate(F.expr(f"array({', '.join(map(str, roots))})"), F.lit(0.0), lambda total, root: total + at(value, leaf(root)))
+        leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, down) if depth else root
+        return F.aggregate(F.expr(f"array({', '.join(map(str, roots))})"), F.lit(0.0), lambda total, root: total + at(value, leaf(root)))
+
+    return bound(x, total_of)
 
 
 def table_of(fitted: models.Calibrated, kind: str) -> dict:
@@ -104,10 +107,10 @@ def raw_probability(table: dict) -> Column:
 
 def probability(table: dict) -> Column:
     """Calibrated probability: the value of the first step whose bound isn't below the raw one."""
-    p = F.round(raw_probability(table), STEP_DIGITS)
     *steps, (_, last) = table["steps"]
     ladder = F.expr(f"array({', '.join(f'named_struct("upper", double({upper}), "value", double({value}))' for upper, value in steps)})")
-    return F.coalesce(F.get(F.filter(ladder, lambda s: p <= s["upper"]), F.lit(0))["value"], F.lit(float(last))) if steps else F.lit(float(last))
+    value = lambda p: F.coalesce(F.get(F.filter(ladder, lambda s: p <= s["upper"]), F.lit(0))["value"], F.lit(float(last)))
+    return bound(F.round(raw_probability(table), STEP_DIGITS), value) if steps else F.lit(float(last))
 
 
 def gradient(df: DataFrame, table: dict, label: str, weight: str | None = None) -> DataFrame:

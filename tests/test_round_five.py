@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlight.config import COVERAGE_SCAN
-from barlight.operators import indicators, patterns
+from barlight.operators import indicators, patterns, stoprisk, stored
 from barlight.plans import inputs
+from barlight.plans.parameters import tables
 from barlight.session import compiled_steps, durable
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,24 @@ def test_hand_over_tables_are_written_without_huge_methods(spark):
     with pytest.raises(ZeroDivisionError), compiled_steps(spark):
         1 / 0
     assert spark.conf.get(LIMIT) == before
+
+
+@pytest.mark.parametrize("kind", ["logistic", "random_forest", "gbt"])
+def test_stored_models_compute_their_inputs_once_a_row(spark, kind):
+    """The inputs are drawn anew whenever they are computed: one draw a row, or no step would fit the probability."""
+    table = tables()["short_term"][kind]
+    names = [*table["features"]]
+    rows = spark.createDataFrame([(i, "ABCDEFG"[i % 7]) for i in range(40)], "id long, pattern_family string").coalesce(1)
+    drawn = rows.select("*", *[(F.rand(k) * 90).alias(x) for k, x in enumerate(names)])
+    kept = durable(drawn)
+    want = [r.p for r in kept.orderBy("id").select(stored.probability(table).alias("p")).collect()]
+    mixed = drawn.withColumns({x: F.rand(k) * 90 for k, x in enumerate(names)}).select("id", stored.probability(table).alias("p"))
+    assert [r.p for r in mixed.orderBy("id").collect()] == want
+
+
+def test_values_read_from_outside_are_bound(spark):
+    p = F.rand(7)
+    steps = [(i / 50, float(i)) for i in range(1, 51)]
+    drawn = spark.range(200, numPartitions=1).select(p.alias("p"), stoprisk.step_calibration(F.rand(7), steps).alias("v"))
+    assert all(r.v == min(v for upper, v in steps if r.p <= upper) for r in drawn.collect())
+    assert spark.sql("select cast(null as double) as p").select(stoprisk.step_calibration(F.col("p"), steps)).first()[0] is None
