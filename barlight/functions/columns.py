@@ -19,6 +19,11 @@ def rounded(col: Column, digits: int) -> Column:
     return F.round(col + F.lit(1e-9), digits)
 
 
+def exceeds(value: Column, mean: Column) -> Column:
+    """value > mean by more than the float noise of a mean taken from running sums; distinct prices lie much further apart."""
+    return value - mean > F.abs(value) * 1e-11
+
+
 def positive(col: Column) -> Column:
     """max(0, col), null read as 0."""
     return F.greatest(F.coalesce(col, F.lit(0.0)), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlight.config import StopRiskPolicy
-from barlight.functions.columns import as_int, bound, clip, pct_change, rounded
+from barlight.functions.columns import as_int, bound, clip, exceeds, pct_change, rounded
 from barlight.functions.ranks import quantiles
 
 c = F.col
@@ -34,8 +34,11 @@ TARGETS = {
 
 
 def breadth(features: DataFrame) -> DataFrame:
-    """Cross-section of each date. Shares are partial sums; medians use the sliced exact quantile."""
-    above = lambda ma: F.avg(as_int(c("close") > c(ma)).cast("double")) * 100.0
+    """Cross-section of each date. Shares are partial sums; medians use the sliced exact quantile.
+
+    A close that equals its mean is not above it, whatever noise the mean's running sums left.
+    """
+    above = lambda ma: F.avg(as_int(exceeds(c("close"), c(ma))).cast("double")) * 100.0
     shares = features.groupBy("date").agg(
         rounded(above("sma50"), 4).alias("regime_pct_above_sma50"), rounded(above("sma200"), 4).alias("regime_pct_above_sma200")
     )
