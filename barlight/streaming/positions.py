@@ -74,55 +74,81 @@ def track_events(events: DataFrame, cfg: Backtest = Backtest(), expire_days: int
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(dict(zip(FIELDS, map(list, state.get)))) if state.exists else pd.DataFrame(columns=FIELDS)
+        held = list(zip(*state.get)) if state.exists else []
         watermark = state.getCurrentWatermarkMs() if expire_days is not None else 0
         if state.hasTimedOut:
-            old = np.array([(_day(watermark) - d).days > expire_days for d in held["signal_date"]], bool)
-            out = held[old].assign(status="expired", exit_date=_day(watermark), exit_price=np.nan)
-            held = held[~old]
+            old = [(_day(watermark) - p[0]).days > expire_days for p in held]
+            out = [(*p, "expired", _day(watermark), None) for p, gone in zip(held, old) if gone]
+            held = [p for p, gone in zip(held, old) if not gone]
         else:
-            rows = pd.concat(list(batches))
-            rows["date"] = rows["ts"].dt.date
-            new = rows[rows["kind"] == "signal"].rename(columns={"date": "signal_date"})[list(FIELDS)].assign(fresh=True)
-            # A stored position comes before a repeated signal.
-            parts = [x for x in (held.assign(fresh=False), new) if len(x)] or [new]
-            held = pd.concat(parts).drop_duplicates(["signal_date", "pattern"], ignore_index=True)
-            held["stop_price"] = held["stop_price"].astype(float).fillna(held["entry_price"].astype(float) * (1.0 - cfg.stop_pct / 100.0))
-            bars = rows[rows["kind"] == "bar"].sort_values("date", kind="stable")
-            closed = [_close(p, bars, cfg, expire_days) for p in held.itertuples(index=False)]
-            held[["status", "exit_date", "exit_price"]] = pd.DataFrame(closed, columns=["status", "exit_date", "exit_price"], dtype=object, index=held.index)
-            out = held[(held["status"] != "holding") | held["fresh"].astype(bool)]
-            held = held[held["status"] == "holding"]
-        if len(held):
-            state.update(tuple(held[f].tolist() for f in FIELDS))
+            parts = list(batches)
+            rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+            stored = {(p[0], p[1]) for p in held}
+            positions = {(p[0], p[1]): p for p in _signals(rows, cfg)[::-1]} | {(p[0], p[1]): p for p in held}  # the first signal counts, a stored position before any
+            bars = _bars(rows)
+            done = [(p, _close(p, *bars, cfg, expire_days)) for p in positions.values()]
+            out = [(*p, *end) for p, end in done if end[0] != "holding" or (p[0], p[1]) not in stored]
+            held = [p for p, end in done if end[0] == "holding"]
+        if held:
+            state.update(tuple(map(list, zip(*held))))
             if expire_days is not None:
-                due = _ms(min(held["signal_date"])) + (expire_days + 1) * DAY_MS
+                due = _ms(min(p[0] for p in held)) + (expire_days + 1) * DAY_MS
                 state.setTimeoutTimestamp(max(due, watermark + 1))
         elif state.exists:
             state.remove()
-        if len(out):
-            yield out.assign(ticker=key[0])[[part.split()[0] for part in OUTPUT.split(", ")]]
+        if out:
+            yield pd.DataFrame([(key[0], *row) for row in out], columns=[part.split()[0] for part in OUTPUT.split(", ")], dtype=object)
 
     timeout = GroupStateTimeout.EventTimeTimeout if expire_days is not None else GroupStateTimeout.NoTimeout
     timed = events.withWatermark("ts", lateness) if expire_days is not None else events
     return timed.groupBy("ticker").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
-def _close(position: tuple, bars: pd.DataFrame, cfg: Backtest, expire_days: int | None) -> tuple:
-    """Status, exit date and exit price of a position after *bars*, which ascend by date."""
-    target = position.entry_price * (1.0 + cfg.target_pct / 100.0)
-    later = bars[bars["date"].to_numpy() > position.signal_date] if len(bars) else bars
-    if not len(later):
+def _known(x) -> float | None:
+    return None if x is None or x != x else float(x)
+
+
+def _signals(rows: pd.DataFrame, cfg: Backtest) -> list[tuple]:
+    """Positions that the signals among *rows* ask for, as FIELDS; a missing stop is the fixed one."""
+    new = rows[(rows["kind"] == "signal").to_numpy()]
+    out = []
+    for day, pattern, entry, stop, hold in zip(_days(new).tolist(), *(new[f].tolist() for f in FIELDS[1:])):
+        entry, stop = _known(entry), _known(stop)
+        if stop is None and entry is not None:
+            stop = entry * (1.0 - cfg.stop_pct / 100.0)
+        out.append((day, pattern if isinstance(pattern, str) else None, entry, stop, hold))
+    return out
+
+
+def _bars(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Days, highs and closes of the bars among *rows*, ascending by day."""
+    bars = rows[((rows["kind"] == "bar") & rows["ts"].notna()).to_numpy()]
+    days = _days(bars)
+    order = np.argsort(days, kind="stable")
+    return days[order], bars["high"].to_numpy(float)[order], bars["close"].to_numpy(float)[order]
+
+
+def _days(rows: pd.DataFrame) -> np.ndarray:
+    return rows["ts"].to_numpy().astype("datetime64[D]")
+
+
+def _close(position: tuple, days: np.ndarray, highs: np.ndarray, closes: np.ndarray, cfg: Backtest, expire_days: int | None) -> tuple:
+    """Status, exit date and exit price of a position after the bars."""
+    signal_date, _, entry, stop, hold = position
+    first = int(np.searchsorted(days, np.datetime64(signal_date, "D"), side="right"))
+    if first == len(days):
         return "holding", None, None
-    age = np.array([(d - position.signal_date).days for d in later["date"]])
-    win = later["high"].to_numpy() >= target
-    loss = (later["close"].to_numpy() <= position.stop_price) & (age > cfg.lockout_days) & (not position.hold_to_target_only)
-    hit = np.flatnonzero(win | loss)
-    if len(hit):
-        first = hit[0]
-        return ("target", later["date"].iloc[first], target) if win[first] else ("stop", later["date"].iloc[first], position.stop_price)
-    if expire_days is not None and age[-1] > expire_days:
-        return "expired", later["date"].iloc[-1], None
+    target = None if entry is None else entry * (1.0 + cfg.target_pct / 100.0)
+    hit = highs[first:] >= (np.nan if target is None else target)
+    if not hold and stop is not None:
+        free = int(np.searchsorted(days, np.datetime64(signal_date, "D") + cfg.lockout_days, side="right")) - first
+        hit[max(free, 0) :] |= closes[first + max(free, 0) :] <= stop
+    if hit.any():
+        at = first + int(hit.argmax())
+        day = days[at].item()
+        return ("target", day, target) if target is not None and highs[at] >= target else ("stop", day, stop)
+    if expire_days is not None and (days[-1].item() - signal_date).days > expire_days:
+        return "expired", days[-1].item(), None
     return "holding", None, None
 
 
