@@ -96,8 +96,9 @@ def _turnover(bars: DataFrame) -> DataFrame:
 
 def _frames(numbered: DataFrame, cfg: Detection, *, averages: bool) -> DataFrame:
     """Window columns in four levels: each level is one pass over the bars, whatever is computed in it, so a column stands in the first level that
-    knows its inputs. With *averages*, the recursive ones are running sums in the same passes (histories known to be short)."""
-    running, earlier = frame(Window.unboundedPreceding, 0), frame(Window.unboundedPreceding, -1)
+    knows its inputs. Every frame of a pass is code of its own in each task, and Spark keeps a hundred classes compiled by default: a pass has few frames,
+    and the same offsets serve several columns. With *averages*, the recursive ones are running sums in the same passes (histories known to be short)."""
+    running = frame(Window.unboundedPreceding, 0)
     wide = cfg.breakout_days
     part = min(20, wide)
     out = numbered if "_tpv" in numbered.columns else _turnover(numbered)
@@ -117,6 +118,7 @@ def _frames(numbered: DataFrame, cfg: Detection, *, averages: bool) -> DataFrame
             "_top_close": _full(part, F.max("close").over(frame(-(part - 1), 0))),
             "_top_close20": _full(20, F.max("close").over(frame(-19, 0))),
             "_top_high20": _full(20, F.max("high").over(frame(-19, 0))),
+            "_top_high52": _full(52, F.max("high").over(frame(-51, 0))),
             "low5_recent": F.min("low").over(frame(-4, 0)),
             "low10_recent": F.min("low").over(frame(-9, 0)),
             "next_open": F.coalesce(F.lead("open").over(by_ticker()), F.col("close")),
@@ -138,7 +140,6 @@ def _frames(numbered: DataFrame, cfg: Detection, *, averages: bool) -> DataFrame
         {
             "sma20": _full(20, _run("_s_close", 20) / 20.0),
             "sma50": _full(50, _run("_s_close", 50) / 50.0),
-            "_sma50_prev5": _full(55, (lagged("_s_close", 5) - F.coalesce(lagged("_s_close", 55), F.lit(0.0))) / 50.0),
             "sma200": _full(200, _run("_s_close", 200) / 200.0),
             "vol_avg20": F.when(_run("_n_volume", 20) == 20, _run("cum_volume", 20) / 20.0),
             "vwap": F.when(_run("_n_volume", 20) == 20, _run("_s_tpv", 20) / volume20),
@@ -147,7 +148,7 @@ def _frames(numbered: DataFrame, cfg: Detection, *, averages: bool) -> DataFrame
             "prev20_close": lagged("_top_close20"),
             "high20": lagged("_top_high20"),
             "swing_low10": F.when(F.col("bar_no") > 10, lagged("low10_recent")),
-            "_top_high100": _cover(F.greatest, "_top_high20", _spread(100, 20)),
+            "high252": _cover(F.greatest, "_top_high52", [0, 50, 100, 150, 200]),
             "atr14": _full(14, F.avg("tr").over(frame(-13, 0))),
             **({s.name: running_average(s) for s in AVERAGES} if averages else {}),
         }
@@ -158,23 +159,29 @@ def _frames(numbered: DataFrame, cfg: Detection, *, averages: bool) -> DataFrame
             "bb_upper": mid + 2.0 * std,
             "bb_lower": mid - 2.0 * std,
             "bb_width": ((mid + 2.0 * std) - (mid - 2.0 * std)) / F.nullif(mid, F.lit(0.0)),
-            "sma50_slope_pct": pct_change(F.col("sma50"), F.col("_sma50_prev5")),
             "range_vs_atr": (F.col("high") - F.col("low")) / F.nullif(F.col("atr14"), F.lit(0.0)),
             **(_oscillators() if averages else {}),
         }
     )
     out = out.withColumns(
         {
-            "_low_width": _full(39, F.min("bb_width").over(frame(-19, 0))),
+            "_low_width": _full(79, F.min("bb_width").over(frame(-59, 0))),
+            "_sma50_prev5": lagged("sma50", 5),
+            "prev_range_vs_atr": lagged("range_vs_atr"),
+            **({"signal9": running_average(SIGNAL), "macd_prev": lagged("macd"), "rsi_prev": lagged("rsi")} if averages else {}),
+        }
+    )
+    narrow = [_cover(F.least, "_low_width", [k + ago for k in _spread(120, 60)]) for ago in range(3)]
+    out = out.withColumns(
+        {
+            "sma50_slope_pct": pct_change(F.col("sma50"), F.col("_sma50_prev5")),
+            "dist_52w_high_pct": pct_change(F.col("close"), F.col("high252")),
             "_width1": lagged("bb_width"),
             "_width2": lagged("bb_width", 2),
-            "high252": _cover(F.greatest, "_top_high100", _spread(252, 100)),
-            "prev_range_vs_atr": lagged("range_vs_atr"),
-            **({"signal9": running_average(SIGNAL), "signal9_prev": running_average(SIGNAL, earlier, 1), "macd_prev": lagged("macd"), "rsi_prev": lagged("rsi")} if averages else {}),
+            **({"signal9_prev": lagged("signal9")} if averages else {}),
+            **{f"_narrow{ago}": x for ago, x in enumerate(narrow)},
         }
     )
-    narrow = [_cover(F.least, "_low_width", [k + ago for k in _spread(120, 20)]) for ago in range(3)]
-    out = out.withColumns({"dist_52w_high_pct": pct_change(F.col("close"), F.col("high252")), **{f"_narrow{ago}": x for ago, x in enumerate(narrow)}})
     squeeze = lambda width, least: F.coalesce(F.col(width) <= F.col(least) * 1.05, F.lit(False))
     out = out.withColumns({"bb_width_min": F.col("_narrow0"), "squeeze": squeeze("bb_width", "_narrow0")})
     out = out.withColumn("squeeze_recent", F.col("squeeze") | squeeze("_width1", "_narrow1") | squeeze("_width2", "_narrow2"))

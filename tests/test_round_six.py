@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from datetime import date, timedelta
 
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 from barlight.config import Backtest
 from barlight.operators import indicators, stoprisk
+from barlight.plans import inputs
 from barlight.streaming import positions as kp
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_a_close_that_equals_its_mean_is_not_above_it(spark):
     """Prices that stay put equal all their means; running sums of 100.1 leave noise on either side."""
@@ -51,3 +55,17 @@ def test_positions_close_on_sorted_days_and_cost_no_walk_over_the_bars():
                 break
         assert end == want
     assert {x[0] for x in got} == {"holding", "target", "stop"}
+
+
+def test_the_passes_over_the_bars_share_their_frames(spark):
+    """Each frame of a pass is compiled code of its own in every task, and only a hundred classes are kept."""
+    kept = inputs.stored_bars(spark, SF)
+    name = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(name, "1000")
+    try:
+        plan = indicators.feature_table(kept, longest=indicators.longest_history(kept))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(name)
+    passes = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Window [")]
+    frames = sum(len(set(re.findall(r"specifiedwindowframe\([^)]*\)", line))) for line in passes)
+    assert 0 < frames <= 37
