@@ -14,7 +14,7 @@ documents hold is one row for each split before it moves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlight.session import durable
 
@@ -28,6 +28,8 @@ BITMAP = 1 << 22
 MIN_TOKENS = 5
 """Shorter lines are their own templates: too few tokens to tell constants from variables."""
 PROBES = 8
+FIRST = 5
+"""Texts of a template that are compared first."""
 SKETCH = 12
 """Hashed word pairs kept of each line, the smallest; the first PROBES of a line are looked up among all of the other text."""
 NEAR = 0.55
@@ -37,9 +39,10 @@ LIKE_SIZE = 0.6
 
 def masked(line: Column) -> Column:
     """Tokens with one space between them; a token with a digit is a variable field."""
+    fields = lambda tidy: F.regexp_replace(tidy, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")  # noqa: E731 - from a token's start, so that no token is read twice
+    spaced = line.startswith(" ") | line.endswith(" ") | line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
     tidy = F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0b]+", " "))
-    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ") | line.rlike("[0-9\\t\\r\\f\\x0b]")
-    return F.when(odd, F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    return F.when(spaced, fields(tidy)).when(line.rlike("[0-9]"), fields(line)).otherwise(line)
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
@@ -53,15 +56,13 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     return parts.withColumns({"event": F.xxhash64("mask"), "tokens": tokens, "leaf": F.xxhash64(tokens, F.substring_index("mask", " ", LEADING))})
 
 
-def in_bitmap(hashes: DataFrame, name: str) -> Column:
-    """Whether column *name* may be among *hashes* (same name): a bitmap of fixed size, half a megabyte, as a constant of the plan."""
+def maybe_among(rows: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
+    """The rows whose column *name* may be among *hashes* (same name). The bitmap has a fixed size and goes to all tasks as a table of its words, not
+    as a constant, which every description of the plan would repeat on the driver."""
     at = F.pmod(name, F.lit(BITMAP))
-    words = hashes.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("mask"))
-    table = ["0"] * (BITMAP // 32)
-    for row in words.collect():
-        table[row["word"]] = str(row["mask"])
-    bits = F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
-    return F.get(bits, F.floor(at / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))) != 0
+    words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("_mask"))
+    here = (F.shiftright(at, 5) == F.col("_word")) & (F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))) != 0)
+    return rows.join(F.broadcast(words), here, "left_semi")
 
 
 def leaf_templates(docs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -69,8 +70,8 @@ def leaf_templates(docs: DataFrame, facts: DataFrame) -> DataFrame:
     several = facts.filter(F.col("tokens") >= MIN_TOKENS).groupBy("leaf").agg(F.min("event").alias("low"), F.max("event").alias("high")).filter("low != high").select("leaf")
     several = durable(several)
     lines = parsed_lines(docs).select("mask", F.explode(F.array(F.struct("leaf", "event", "tokens"))).alias("key")).select("mask", "key.*")
-    lines = lines.filter((F.col("tokens") >= MIN_TOKENS) & in_bitmap(several, "leaf")).select("leaf", "event", "mask")
-    events = durable(lines.groupBy("leaf", "event").agg(F.max("mask").alias("mask")).join(several, "leaf"))
+    lines = maybe_among(lines.filter(F.col("tokens") >= MIN_TOKENS), several, "leaf").select("leaf", "event", "mask")
+    events = durable(lines.distinct().join(several, "leaf").groupBy("leaf", "event").agg(F.max("mask").alias("mask")))
     tokens = events.select("leaf", "event", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     sizes = events.groupBy("leaf").agg(F.count("*").alias("all"))
@@ -79,13 +80,13 @@ def leaf_templates(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return shares.filter(F.col("share") >= CONSTANT_SHARE).select("event", F.col("leaf").alias("template"))
 
 
-def line_sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """Texts that *held* names: (h, size), the smallest hashed word pairs of each line by position, and the templates held at positions."""
+def line_sketches(docs: DataFrame, held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts *wanted* (h, size): the smallest hashed word pairs of each line by position, and the templates that *held* finds at positions."""
     pairs = lambda words: F.transform(words, lambda w, i: F.hash(w, F.coalesce(F.get(words, i + 1), F.lit(""))))
     sketch = lambda line: F.get(F.transform(F.array(F.split(masked(line), " ")), lambda words: F.slice(F.sort_array(pairs(words)), 1, SKETCH)), 0)
     blank = lambda line: F.btrim(line, F.lit(" \t\r\f\x0b")) == ""
-    asked = held.groupBy("h", "size").agg(F.collect_set(F.struct("position", "template")).alias("held"))
-    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), "text").filter(in_bitmap(held.select("h"), "h"))
+    asked = maybe_among(held, wanted, "h").groupBy("h", "size").agg(F.collect_set(F.struct("position", "template")).alias("held")).join(wanted, ["h", "size"], "left_semi")
+    texts = maybe_among(docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), "text"), wanted, "h")
     lines = F.transform(F.split("text", "\n"), lambda line: F.when(blank(line), F.array().cast("array<int>")).otherwise(sketch(line)))
     return durable(texts.select("h", "size", lines.alias("sketches")).dropDuplicates(["h", "size"]).join(asked, ["h", "size"]))
 
@@ -93,10 +94,26 @@ def line_sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, held: DataFrame) -> DataFrame:
     """Templates of *held* (template, h, size, total, position, tokens) that recur across documents: (template).
 
+    Most that recur show it among their FIRST texts of most lines, which are compared first; templates that don't, and have more texts, are judged on
+    all of them. Both judge alike, as a text that comes later never takes the place of one of most lines.
+    """
+    left = durable(held.groupBy("template", "h", "size").agg(F.max("total").alias("total"), F.max("tokens").alias("tokens")))
+    place = F.row_number().over(Window.partitionBy("template").orderBy(F.desc("total"), F.desc("h"), F.desc("size")))
+    first = durable(left.withColumn("place", place).filter(F.col("place") <= FIRST + 1))
+    sizes = durable(first.groupBy("template").agg(F.count("*").alias("n"), F.max("tokens").alias("tokens")).filter((F.col("n") >= MIN_TEXTS) | (F.col("tokens") >= LONG)))
+    early = durable(unlike_texts(docs, held, first.filter(F.col("place") <= FIRST).drop("place").join(sizes.select("template"), "template", "left_semi")))
+    open_ones = sizes.filter(F.col("n") > FIRST).join(early, "template", "left_anti").select("template")
+    return early.union(unlike_texts(docs, held, left.join(open_ones, "template", "left_semi")))
+
+
+def unlike_texts(docs: DataFrame, held: DataFrame, left: DataFrame) -> DataFrame:
+    """Templates of *left* (template, h, size, total, tokens) that enough texts of it hold of which no two are near copies: (template).
+
     Each round takes a text of every template, the one of most lines, and puts the texts that are no near copies of it to the next round.
     """
-    texts = line_sketches(docs, held)
-    left = apart(held.groupBy("template", "h", "size").agg(F.max("total").alias("total"), F.max("tokens").alias("tokens")), texts)
+    left = durable(left)
+    texts = line_sketches(docs, held, durable(left.select("h", "size").distinct()))
+    left = apart(left, texts)
     two = (F.col("tokens") >= LONG) & F.col("unlike")
     found = left.filter(two).select("template")
     left = left.filter(~two)
@@ -141,7 +158,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     facts = durable(parsed_lines(docs).drop("mask"))
     templates = leaf_templates(docs, facts)
     parsed = facts.join(templates, "event", "left").withColumn("template", F.coalesce("template", "event")).select("template", "h", "size", "total", "position", "tokens")
-    several = parsed.groupBy("template").agg(F.min(F.struct("h", "size")).alias("low"), F.max(F.struct("h", "size")).alias("high")).filter("low != high").select("template")
+    ends = [end(x).alias(f"{name}_{x}") for x in ("h", "size") for name, end in (("low", F.min), ("high", F.max))]
+    several = parsed.groupBy("template").agg(*ends).filter("low_h != high_h or low_size != high_size").select("template")
     held = durable(parsed.join(several, "template"))
     gone = held.join(recurring(docs, held), "template").groupBy("h", "size").agg(F.collect_set("position").alias("gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
