@@ -1,60 +1,117 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
-Vectors lie in blocks of a document range (ordered by the signs of a few dimensions, so that a block's vectors are alike). A block knows the maximum and
+Vectors lie in blocks of a document range (ordered by the signs of their dimensions, so that a block's vectors are alike). A block knows the maximum and
 minimum of each term. For a query, the sum over its terms of weight times maximum (or minimum, for a negative weight) bounds every score in the block.
 Blocks are visited in the order of that bound and scored through their forward indexes, until the bound falls below the k-th score so far.
 
-Queries are dealt into groups and blocks into tiles; a task meets one group and one tile. A common set of vectors is scored first, so every task starts
-with a k-th score to beat. A task returns at most k rows for each of its queries.
+Queries are dealt into chunks and tiles of blocks into lanes; a task holds the queries of one chunk and reads the tiles of one lane, so every tile is sent
+once for each chunk and every query once for each lane. Alike queries visit blocks together. A common set of vectors is scored first, so every task starts
+with a k-th score to beat, which rises as it reads. A task returns at most k rows for each of its queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barlight.session import durable
 
 BLOCK = 32
+"""Vectors under one bound."""
+STEP = 64
+"""Blocks that are scored at once."""
 TILE = 4096
-GROUP = 1024
-SEEDS = 2048
-SIGN_BITS = 10
+"""Vectors that travel together."""
+RANGE = 16
+"""Tiles of a document range."""
+BATCH = 256
+"""Queries that visit blocks together."""
+CHUNK = 131_072
+"""Queries that a task holds at most, fewer if they are long."""
+CHUNK_VALUES = 1 << 24
+WORK = 2_000_000_000
+"""Scores of a task, as long as that takes no more than COPIES of the vectors or LANES rows of the queries."""
+COPIES, LANES = 4, 16
+SEEDS = 16384
+SEED_VALUES = 1 << 20
+SIGN_BITS = 62
+NONE = np.iinfo(np.int64).min
+LAST = np.iinfo(np.int64).max
+TYPES = {1: "i1", 2: "<i2", 4: "<i4", 8: "<f8"}
+
+
+def width(limit: np.ndarray) -> np.ndarray:
+    """Bytes of the narrowest type that holds whole numbers up to *limit*."""
+    return np.select([limit < 1 << (8 * w - 1) for w in (1, 2, 4)], [1, 2, 4], 8)
+
+
+def cells(x: np.ndarray) -> np.ndarray:
+    """The signs of the leading dimensions as a number: neighbours in its order are alike."""
+    signs = x[:, :SIGN_BITS] > 0
+    return signs.astype(np.int64) @ (1 << np.arange(SIGN_BITS - 1, SIGN_BITS - 1 - signs.shape[1], -1, dtype=np.int64))
+
+
+def matrix(vs: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(vs, TYPES[len(vs) // (n * dims)] if n * dims else "<f8").reshape(n, dims)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    return x.astype(TYPES[int(width(np.abs(x).max(initial=0)))]).tobytes()
 
 
 def quantised(vectors: DataFrame, dims: int, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, cell, v) of the vectors that take part; v holds floor(scale * x) as little-endian doubles, padded to *dims*."""
+    """(vec_id, cell, v) of the vectors that take part; v holds floor(scale * x), padded to *dims*, in the narrowest of the TYPES."""
+    rows = max(1, CHUNK_VALUES // 16 // max(dims, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(start, rows) for start in range(0, whole.num_rows, rows)):
+                lists = batch.column("vector")
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                x = np.floor(scale * lists.flatten().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False))
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                full = np.zeros((len(lengths), dims))
+                full[row, np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = x
+                taken = np.array(pc.and_(lists.is_valid(), batch.column("vec_id").is_valid()).to_pylist(), bool)
+                taken[row[~np.isfinite(x)]] = False
+                ids, full = batch.column("vec_id").filter(pa.array(taken)), full[taken]
+                widths = width(np.abs(full).max(axis=1, initial=0))
+                widths[(np.signbit(full) & (full == 0)).any(axis=1)] = 8  # minus zero keeps its sign, which decides between query rows of one id
+                values = np.empty(len(full), object)
+                for w in np.unique(widths):
+                    at = np.flatnonzero(widths == w)
+                    data, step = full[at].astype(TYPES[int(w)]).tobytes(), dims * int(w)
+                    values[at] = [data[i * step : (i + 1) * step] for i in range(len(at))]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(cells(full), pa.int64()), pa.array(values, pa.binary())], ["vec_id", "cell", "v"])
+
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).mapInArrow(run, "vec_id long, cell long, v binary")
+
+
+def as_doubles(rows: DataFrame, dims: int) -> DataFrame:
+    """(vec_id, v) of *rows*, v as little-endian doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, cells, values = [], [], []
-            for key, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector")):
-                if key is None or not vector.is_valid or vector.values.null_count:
-                    continue
-                x = np.floor(scale * vector.values.to_numpy(zero_copy_only=False).astype(float))
-                if not np.isfinite(x).all():
-                    continue
-                x = np.concatenate([x, np.zeros(dims - len(x))])
-                ids.append(key)
-                cells.append(int((x[:SIGN_BITS] > 0) @ (1 << np.arange(len(x[:SIGN_BITS])))))
-                values.append(x.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.int32()), pa.array(values, pa.binary())], ["vec_id", "cell", "v"])
+            values = [matrix(v, 1, dims).astype("<f8").tobytes() for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(values, pa.binary())], ["vec_id", "v"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).mapInArrow(run, "vec_id long, cell int, v binary")
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v binary")
 
 
-def bundles(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
+def bundles(rows: DataFrame, size: int, dims: int, keep: list[str]) -> DataFrame:
     """Rows of each partition, as they come, in bundles of at most *size*: (ids, vs), and the columns *keep*, which change between bundles only."""
-    schema = ", ".join([*(f"{c} long" for c in keep), "ids binary", "vs binary"])
+    schema = ", ".join([*(f"{c} int" for c in keep), "ids binary", "vs binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, ids, values = None, [], []
 
         def bundle() -> pa.RecordBatch:
-            columns = [pa.array([m], pa.int64()) for m in marks] + [pa.array([np.array(ids, "<i8").tobytes()]), pa.array([b"".join(values)])]
+            columns = [pa.array([m], pa.int32()) for m in marks] + [pa.array([np.array(ids, "<i8").tobytes()]), pa.array([narrow(stacked(values, dims))])]
             return pa.RecordBatch.from_arrays(columns, [*keep, "ids", "vs"])
 
         for batch in batches:
@@ -72,66 +129,138 @@ def bundles(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "vec_id", "v").mapInArrow(run, schema)
 
 
-def matrix(vs: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(vs, "<f8").reshape(n, -1)
-
-
-def products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer inner products; doubles hold them exactly unless components are very large."""
-    return q @ x.T if exact else (q.astype(np.int64) @ x.astype(np.int64).T)
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k best of *vectors* for each query, those below *floor*, a known k-th score, left out."""
-    limit = max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0))
-    exact = limit * limit * queries.shape[1] < 2**52
-    blocks = -(-len(ids) // BLOCK)
-    high = np.stack([vectors[b * BLOCK : (b + 1) * BLOCK].max(axis=0) for b in range(blocks)])
-    low = np.stack([vectors[b * BLOCK : (b + 1) * BLOCK].min(axis=0) for b in range(blocks)])
-    bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    if not exact:
-        bound = bound * (1 + np.sign(bound) * 1e-9) + 1  # rounding must not cut a block off
-    order = np.argsort(-bound, axis=1, kind="stable")
-    best = np.full((len(queries), k), -np.inf)
-    kth = floor.astype(float).copy()
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held, active = 0, np.arange(len(queries))
-    for turn in range(blocks):
-        block = order[active, turn]
-        going = bound[active, block] >= kth[active]  # a block that can only tie may hold a smaller id
-        active, block = active[going], block[going]
-        if not len(active):
-            break
-        sort = np.argsort(block, kind="stable")
-        active, block = active[sort], block[sort]
-        for rows in np.split(active, np.flatnonzero(np.diff(block)) + 1):
-            b = int(order[rows[0], turn])
-            keys = ids[b * BLOCK : (b + 1) * BLOCK]
-            score = products(queries[rows], vectors[b * BLOCK : (b + 1) * BLOCK], exact).astype(float if exact else np.int64)
-            own = query_ids[rows][:, None] == keys[None, :]
-            ranked = np.where(own, -np.inf, score)
-            hit, at = np.nonzero(~own & (score >= kth[rows][:, None]))
-            if len(hit):
-                found.append((rows[hit], keys[at], score[hit, at].astype(np.int64)))
-                held += len(hit)
-                best[rows] = -np.partition(-np.concatenate([best[rows], ranked], axis=1), k - 1, axis=1)[:, :k]
-                kth[rows] = np.maximum(kth[rows], best[rows].min(axis=1))
-        if held > 1_000_000:
-            found = [first(found, k)]
-            held = len(found[0][0])
-    return first(found, k)
+def stacked(values: list[bytes], dims: int) -> np.ndarray:
+    """The vectors *values*, each in a type of its own, as one matrix."""
+    if len({len(v) for v in values}) == 1:
+        return matrix(b"".join(values), len(values), dims)
+    return np.stack([matrix(v, 1, dims)[0].astype(float) for v in values])
+
+
+def score_type(q: np.ndarray, x: np.ndarray) -> str:
+    """The quickest type that holds inner products and their partial sums exactly; int64 for very large components."""
+    limit = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    return "f4" if limit < 2**24 else "f8" if limit < 2**52 else "i8"
+
+
+class Search:
+    """The k best vectors met so far for each of some queries: highest scores, ties to smaller ids."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None, floor_id: np.ndarray | None = None) -> None:
+        """*floor* and *floor_id*, where given, are a known k-th score of each query (or NONE) and the id it belongs to."""
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.score, self.key = np.full((len(ids), k), NONE), np.full((len(ids), k), LAST)
+        self.kth = np.full(len(ids), NONE) if floor is None else floor.copy()
+        self.kth_id = np.full(len(ids), LAST) if floor_id is None else floor_id.copy()
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.visited = self.blocks = 0
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Score the blocks of a tile that may hold one of the k best."""
+        kind = score_type(self.vectors, vectors)
+        bounds = "f4" if kind == "f4" else "f8"
+        starts = np.arange(0, len(ids), BLOCK)
+        high, low = (f.reduceat(vectors, starts, axis=0).astype(bounds) for f in (np.maximum, np.minimum))
+        least = np.minimum.reduceat(ids, starts)
+        top, bottom = high.max(axis=0), low.min(axis=0)
+        x = vectors.astype(kind)
+        for start in range(0, len(self.ids), BATCH):
+            rows = slice(start, start + BATCH)
+            queries = self.vectors[rows].astype(bounds)
+            up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+            self.blocks += len(queries) * len(starts)
+            if kind != "i8" and not (up @ top + down @ bottom >= self.kth[rows]).any():
+                continue
+            bound = up @ high.T + down @ low.T
+            if kind == "i8":
+                bound = bound + np.abs(bound) * 1e-9 + 1  # rounding must not cut a block off
+                queries = self.vectors[rows].astype(kind)
+            self._visit(rows, queries, bound, least, ids, x, kind)
+        if self.held > max(len(self.ids) * self.k // 2, 10_000):
+            self.settle()
+
+    def _visit(self, rows: slice, queries: np.ndarray, bound: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, kind: str) -> None:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held, order = 0, None
+        while order is None or len(order):
+            kth = self.kth[rows].astype(bound.dtype)[:, None]
+            alive = bound >= kth
+            if kind != "i8":  # a block that can only tie may hold a smaller id
+                alive &= (bound > kth) | (least <= self.kth_id[rows][:, None])
+            if order is None:
+                order = np.argsort(-(bound - kth).max(axis=0), kind="stable")
+            order = order[alive.any(axis=0)[order]]
+            part, order = np.sort(order[:STEP]), order[STEP:]
+            if not len(part):
+                break
+            going = np.flatnonzero(alive[:, part].any(axis=1))
+            self.visited += int(alive[:, part].sum())
+            at = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            at = at[at < len(ids)]
+            score = (queries if len(going) == len(queries) else queries[going]) @ x[at].T
+            hits = score >= self.kth[rows][going].astype(kind)[:, None]
+            if np.count_nonzero(hits) > 4 * self.k * len(going) and len(at) > self.k:  # the part alone gives a k-th score to beat
+                score_of_others = np.where(self.ids[rows][going][:, None] == ids[at], NONE, score)
+                hits &= score_of_others >= np.partition(score_of_others, -self.k, axis=1)[:, -self.k, None]
+            row, column = np.divmod(np.flatnonzero(hits), len(at))
+            if not len(row):
+                continue
+            value, key, row = score[row, column].astype(np.int64), ids[at[column]], going[row] + rows.start
+            wanted = (key != self.ids[row]) & ((value > self.kth[row]) | (value == self.kth[row]) & (key <= self.kth_id[row]))
+            found.append((row[wanted], key[wanted], value[wanted]))
+            held += len(found[-1][0])
+            if held > len(queries) * self.k:
+                self._settle(found)
+                found, held = [], 0
+        self.pending += found
+        self.held += held
+
+    def settle(self) -> None:
+        if self.pending:
+            self._settle(self.pending)
+        self.pending, self.held = [], 0
+
+    def _settle(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        touched = np.unique(np.concatenate([row for row, _, _ in found]))
+        score, key = self.score[touched], self.key[touched]
+        known = score != NONE
+        row, key, score = first([*found, (np.repeat(touched, known.sum(axis=1)), key[known], score[known])], self.k)
+        rank = ranks(row)
+        self.score[row, rank], self.key[row, rank] = score, key
+        full = row[rank == self.k - 1]
+        self.kth[full], self.kth_id[full] = self.score[full, -1], self.key[full, -1]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, score) of the k best of all tiles."""
+        self.settle()
+        row, rank = np.nonzero(self.score != NONE)
+        return row, self.key[row, rank], self.score[row, rank]
+
+
+def ranks(row: np.ndarray) -> np.ndarray:
+    """Each entry's place among equal entries of the ascending *row*."""
+    if not len(row):
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    return np.arange(len(row)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(row)]])))
 
 
 def first(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best rows of each query: highest scores, ties to smaller ids."""
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
     row, key, score = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((key, -score, row))
     row, key, score = row[order], key[order], score[order]
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(row)]])))
-    return row[rank < k], key[rank < k], score[rank < k]
+    kept = ranks(row) < k
+    return row[kept], key[kept], score[kept]
+
+
+def layout(total: int, asked: int, dims: int, k: int) -> tuple[int, int]:
+    """(chunks, lanes) for *asked* queries and *total* vectors: tasks of WORK scores while that is cheap to deal, and chunks that a task can hold."""
+    tasks = max(1, ceil(asked * total / WORK))
+    vector_bytes, query_bytes = total * (dims + 8), max(1, asked) * (dims + 24 * (k + 1))
+    lanes = max(1, min(LANES, ceil(sqrt(tasks * vector_bytes / query_bytes)), tasks))
+    chunks = min(COPIES, ceil(tasks / lanes))
+    return max(1, chunks, ceil(asked / CHUNK), ceil(asked * dims / CHUNK_VALUES)), lanes
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -143,44 +272,72 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     in byte order). An empty table gives an empty one; other columns are ignored. Scores must fit in a long.
     """
     spark = vectors.sparkSession
-    dims = vectors.agg(F.max(F.size(vector_col))).first()[0] or 0
-    rows = durable(quantised(vectors, max(dims, 0), id_col, vector_col, scale))
-    total = rows.count()
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    groups = max(1, -(-total // (every * GROUP)))
-    tiles = max(1, -(-total // TILE))
-    lanes = max(1, -(-tiles // 2))
-    seeds = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect()
-    seed = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in seeds], np.int64), np.array([np.frombuffer(r["v"], "<f8") for r in seeds])))
-
-    dealt = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("long")).repartition(groups, "group").sortWithinPartitions("group", "vec_id")
-    packed = durable(bundles(dealt, GROUP * 4, ["group"]))
+    dims = max(vectors.agg(F.max(F.size(vector_col))).first()[0] or 0, 0)
+    rows = durable(quantised(vectors, dims, id_col, vector_col, scale))
+    mine = F.col("vec_id") % every == 0
+    total, asked = rows.agg(F.count("*"), F.count(F.when(mine, 1))).first()
+    chunks, lanes = layout(total, asked, dims, k)
+    seeds = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(k + 1, min(SEEDS, SEED_VALUES // max(dims, 1)))).collect()
+    known = (np.array([r["vec_id"] for r in seeds], np.int64), stacked([bytes(r["v"]) for r in seeds], dims)) if seeds else None
+    seed = spark.sparkContext.broadcast(known)
+
+    queries = as_doubles(rows.filter(mine), dims).repartition(max(1, ceil(asked / TILE)), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
+    dealt = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).sortWithinPartitions("chunk", "vec_id")
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, known = seed.value
         for batch in batches:
-            for group, ids, vs in zip(*(batch.column(c).to_pylist() for c in ("group", "ids", "vs"))):
+            for chunk, ids, vs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "vs"))):
                 query_ids = np.frombuffer(ids, "<i8")
-                floor = np.full(len(query_ids), -np.inf)
-                row, _, score = search(query_ids, matrix(vs, len(query_ids)), floor, keys, known, k)
-                full, counts = np.unique(row, return_counts=True)
-                last = np.cumsum(counts) - 1
-                floor[full[counts == k]] = score[last[counts == k]]
-                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([ids]), pa.array([vs]), pa.array([floor.tobytes()])], ["group", "query_ids", "qs", "floors"])
-
-    ready = packed.mapInArrow(floors, "group long, query_ids binary, qs binary, floors binary")
-    ready = ready.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))) if total else ready.withColumn("lane", F.lit(0))
-    ranged = rows.repartitionByRange(tiles, "cell", "vec_id").sortWithinPartitions("cell", "vec_id").withColumn("one", F.lit(0).cast("long"))
-    blocks = bundles(ranged, TILE, ["one"]).drop("one")
-    blocks = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+                search = Search(query_ids, matrix(vs, len(query_ids), dims), k)
+                for start in range(0, len(seed.value[0]), TILE):
+                    search.meet(*(x[start : start + TILE] for x in seed.value))
+                search.settle()
+                columns = [pa.array([chunk], pa.int32()), *(pa.array([x]) for x in (ids, vs, search.kth.tobytes(), search.kth_id.tobytes()))]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "vs", "floors", "floor_ids"])
+
+    ready = bundles(dealt, TILE, dims, ["chunk"]).mapInArrow(floors, "chunk int, ids binary, vs binary, floors binary, floor_ids binary")
+    ready = ready.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    ranged = rows.repartitionByRange(max(1, ceil(total / (TILE * RANGE))), "cell", "v", "vec_id").sortWithinPartitions("cell", "v", "vec_id")
+    place = F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}) + {RANGE + 1} * spark_partition_id()")
+    tiles = bundles(ranged, TILE, dims, []).withColumn("lane", F.pmod(place, F.lit(lanes)).cast("int"))
+    tiles = tiles.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    met = ready.unionByName(tiles, allowMissingColumns=True).withColumn("pair", F.col("chunk") * lanes + F.col("lane")).withColumn("tile", F.col("floors").isNull())
+    met = met.repartitionById(chunks * lanes, F.col("pair")).sortWithinPartitions("pair", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, search = None, [], None
+
+        def begin() -> Search | None:
+            if not waiting:
+                return None
+            ids, floor, floor_id = (np.concatenate([np.frombuffer(w[c], "<i8") for w in waiting]) for c in (0, 2, 3))
+            parts = [matrix(w[1], len(w[0]) // 8, dims) for w in waiting]
+            x = np.concatenate(parts)
+            order = np.argsort(cells(x), kind="stable")
+            return Search(ids[order], x[order], k, floor[order], floor_id[order])
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if search is not None:
+                row, key, score = search.result()
+                for start in range(0, len(row), 100_000):
+                    part = slice(start, start + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(search.ids[row[part]]), pa.array(key[part]), pa.array(score[part])], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for query_ids, qs, floor, ids, vs in zip(*(batch.column(c).to_pylist() for c in ("query_ids", "qs", "floors", "ids", "vs"))):
-                query_ids, ids = np.frombuffer(query_ids, "<i8"), np.frombuffer(ids, "<i8")
-                row, key, score = search(query_ids, matrix(qs, len(query_ids)), np.frombuffer(floor), ids, matrix(vs, len(ids)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(key), pa.array(score)], ["query_id", "vec_id", "score"])
+            for at in range(batch.num_rows):
+                pair, tile, ids, vs, floor, floor_ids = (batch.column(c)[at].as_py() for c in ("pair", "tile", "ids", "vs", "floors", "floor_ids"))
+                if pair != now:
+                    yield from end()
+                    now, waiting, search = pair, [], None
+                if not tile:
+                    waiting.append((ids, vs, floor, floor_ids))
+                    continue
+                if waiting:
+                    search, waiting = begin(), []
+                if search is not None:
+                    search.meet(np.frombuffer(ids, "<i8"), matrix(vs, len(ids) // 8, dims))
+        yield from end()
 
-    met = blocks.join(ready, ["group", "lane"]).select("query_ids", "qs", "floors", "ids", "vs").mapInArrow(run, "query_id long, vec_id long, score long")
+    best = met.select("pair", "tile", "ids", "vs", "floors", "floor_ids").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,6 +40,48 @@ def test_top_k_equals_brute_force(spark):
     assert {tuple(r) for r in got} == brute_top(rows, 20, 20) and len(got) == len(set(got))
 
 
+def test_top_k_over_chunks_lanes_and_tiles(spark, monkeypatch):
+    for name, value in {"TILE": 64, "RANGE": 2, "CHUNK": 30, "WORK": 2000, "SEEDS": 40}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(int(i) % 1000, [float(x) for x in rng.normal(size=9) * wide]) for i, wide in enumerate(rng.choice([0.1, 1, 100, 1e5], 1100))]  # ids repeat
+    rows += [(2000 + i, [-0.0, 0.25, 1.0]) for i in range(150)]  # ties
+    rows = [r for n, r in enumerate(rows) if r[0] % 20 or r[0] not in {x for x, _ in rows[:n]}]
+    assert min(topk.layout(1200, 60, 9, 20)) > 1
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {tuple(r) for r in got} == brute_top(rows, 20, 20) and len(got) == len(set(got))
+
+
+def test_top_k_takes_the_smallest_of_query_rows_with_an_id(spark):
+    rows = [(20, [1.0, 2.0]), (20, [2.0, 1.0]), (20, [-0.0, 3.0]), (21, [1.0, 0.0]), (22, [0.0, 1.0])]
+    least = min((np.floor(64 * np.array(v)).astype("<f8").tobytes(), v) for i, v in rows if i == 20)[1]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert {tuple(r) for r in got} == brute_top([(20, least), *rows[3:]], 20, 20)
+
+
+def test_top_k_ships_no_vectors_once_per_thousand_queries(spark):
+    frame = spark.range(400).selectExpr("id as vec_id", "transform(sequence(1, 8), i -> cast(sin(id * i) as float)) as embedding")
+    plan = topk.top_k(frame)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan  # copies of all queries, one for each lane, met the blocks in a join that may broadcast them
+    for total in (720_000, 2_160_000, 22_000_000):  # bytes dealt stay below four times the input of four bytes a value
+        chunks, lanes = topk.layout(total, total // 20, 64, 20)
+        assert chunks * total * 72 + lanes * (total // 20) * (72 + 16 + 20 * 24) < 4 * total * 280
+    assert max(topk.layout(50_000, 2_500, 64, 20)) == 1
+
+
+def test_top_k_skips_blocks_of_other_clusters():
+    rng = np.random.default_rng(4)
+    vectors = np.floor(64 * (rng.normal(size=(50, 32))[:, None] + rng.normal(size=(50, 80, 32)) * 0.02)).reshape(-1, 32)
+    vectors = vectors[np.argsort(topk.cells(vectors), kind="stable")]
+    ids = rng.permutation(len(vectors))
+    search = topk.Search(ids[::20], vectors[::20], 5)
+    for start in range(0, len(ids), 400):
+        search.meet(ids[start : start + 400], vectors[start : start + 400])
+    row, key, score = search.result()
+    want = {(q, i, -s) for q, at in enumerate(range(0, len(ids), 20)) for s, i in sorted((-int(s), int(i)) for s, i in zip(vectors @ vectors[at], ids) if i != ids[at])[:5]}
+    assert set(zip(row.tolist(), key.tolist(), score.tolist())) == want and search.visited < 0.5 * search.blocks
+
+
 def test_top_k_of_few_and_of_none(spark):
     frame = spark.createDataFrame([(20, [1.0]), (21, [2.0]), (22, [-1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(frame).orderBy("rank").collect()] == [(20, 1, 21, 8192), (20, 2, 22, -4096)]
