@@ -64,6 +64,12 @@ def narrow(x: np.ndarray) -> bytes:
     return x.astype(TYPES[int(width(np.abs(x).max(initial=0)))]).tobytes()
 
 
+def in_order(ids: np.ndarray, x: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The vectors *x*, what belongs to them alongside, so that alike ones are neighbours."""
+    order = np.argsort(cells(x), kind="stable")
+    return ids[order], x[order], *(o[order] for o in others)
+
+
 def quantised(vectors: DataFrame, dims: int, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(vec_id, cell, v) of the vectors that take part; v holds floor(scale * x), padded to *dims*, in the narrowest of the TYPES."""
     rows = max(1, CHUNK_VALUES // 16 // max(dims, 1))
@@ -136,9 +142,8 @@ def stacked(values: list[bytes], dims: int) -> np.ndarray:
     return np.stack([matrix(v, 1, dims)[0].astype(float) for v in values])
 
 
-def score_type(q: np.ndarray, x: np.ndarray) -> str:
-    """The quickest type that holds inner products and their partial sums exactly; int64 for very large components."""
-    limit = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+def score_type(limit: float) -> str:
+    """The quickest type that holds inner products up to *limit* and their partial sums exactly; int64 for very large ones."""
     return "f4" if limit < 2**24 else "f8" if limit < 2**52 else "i8"
 
 
@@ -154,54 +159,55 @@ class Search:
         self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
         self.visited = self.blocks = 0
+        self.starts = np.arange(0, len(ids), BATCH)
+        self.limit = float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
+        high, low = (f.reduceat(vectors, self.starts, axis=0).astype(float) for f in (np.maximum, np.minimum))
+        self.middle, self.spread = (high + low) / 2, (high - low) / 2
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Score the blocks of a tile that may hold one of the k best."""
-        kind = score_type(self.vectors, vectors)
-        bounds = "f4" if kind == "f4" else "f8"
+        limit = self.limit * float(np.abs(vectors).max(initial=0))
+        kind = score_type(limit)
+        slack = 0 if limit < 2**45 else 1 + limit * 4e-15 * vectors.shape[1]  # rounding must not cut a block off
         starts = np.arange(0, len(ids), BLOCK)
-        high, low = (f.reduceat(vectors, starts, axis=0).astype(bounds) for f in (np.maximum, np.minimum))
+        high, low = (f.reduceat(vectors, starts, axis=0).astype(float) for f in (np.maximum, np.minimum))
         least = np.minimum.reduceat(ids, starts)
-        top, bottom = high.max(axis=0), low.min(axis=0)
-        x = vectors.astype(kind)
-        for start in range(0, len(self.ids), BATCH):
-            rows = slice(start, start + BATCH)
-            queries = self.vectors[rows].astype(bounds)
-            up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-            self.blocks += len(queries) * len(starts)
-            if kind != "i8" and not (up @ top + down @ bottom >= self.kth[rows]).any():
-                continue
-            bound = up @ high.T + down @ low.T
-            if kind == "i8":
-                bound = bound + np.abs(bound) * 1e-9 + 1  # rounding must not cut a block off
-                queries = self.vectors[rows].astype(kind)
-            self._visit(rows, queries, bound, least, ids, x, kind)
+        middle, spread = (high + low) / 2, (high - low) / 2
+        # no query of a batch scores more in a block than the ranges of their terms allow
+        reach = self.middle @ middle.T + np.abs(self.middle) @ spread.T + self.spread @ (np.abs(middle) + spread).T + slack
+        kth, kth_id = np.minimum.reduceat(self.kth, self.starts).astype(float), np.maximum.reduceat(self.kth_id, self.starts)
+        within = _within(reach, kth, least, kth_id)
+        high, low, x = high.astype(_bounds(kind)), low.astype(_bounds(kind)), vectors.astype(kind)
+        self.blocks += len(self.ids) * len(starts)
+        for batch in np.flatnonzero(within.any(axis=1)):
+            rows, blocks = slice(self.starts[batch], self.starts[batch] + BATCH), np.flatnonzero(within[batch])
+            queries = self.vectors[rows].astype(high.dtype)
+            bound = np.maximum(queries, 0) @ high[blocks].T + np.minimum(queries, 0) @ low[blocks].T
+            bound += bound.dtype.type(slack if kind == "i8" else 0)
+            self._visit(rows, queries if kind != "i8" else self.vectors[rows].astype(kind), blocks, bound, least[blocks], ids, x)
         if self.held > max(len(self.ids) * self.k // 2, 10_000):
             self.settle()
 
-    def _visit(self, rows: slice, queries: np.ndarray, bound: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, kind: str) -> None:
+    def _visit(self, rows: slice, queries: np.ndarray, blocks: np.ndarray, bound: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held, order = 0, None
         while order is None or len(order):
-            kth = self.kth[rows].astype(bound.dtype)[:, None]
-            alive = bound >= kth
-            if kind != "i8":  # a block that can only tie may hold a smaller id
-                alive &= (bound > kth) | (least <= self.kth_id[rows][:, None])
+            alive = _within(bound, self.kth[rows].astype(bound.dtype), least, self.kth_id[rows])
             if order is None:
-                order = np.argsort(-(bound - kth).max(axis=0), kind="stable")
+                order = np.argsort(-(bound - self.kth[rows].astype(bound.dtype)[:, None]).max(axis=0), kind="stable")
             order = order[alive.any(axis=0)[order]]
             part, order = np.sort(order[:STEP]), order[STEP:]
             if not len(part):
                 break
             going = np.flatnonzero(alive[:, part].any(axis=1))
             self.visited += int(alive[:, part].sum())
-            at = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            at = (blocks[part, None] * BLOCK + np.arange(BLOCK)).ravel()
             at = at[at < len(ids)]
             score = (queries if len(going) == len(queries) else queries[going]) @ x[at].T
-            hits = score >= self.kth[rows][going].astype(kind)[:, None]
+            hits = score >= self.kth[rows][going].astype(score.dtype)[:, None]
             if np.count_nonzero(hits) > 4 * self.k * len(going) and len(at) > self.k:  # the part alone gives a k-th score to beat
-                score_of_others = np.where(self.ids[rows][going][:, None] == ids[at], NONE, score)
-                hits &= score_of_others >= np.partition(score_of_others, -self.k, axis=1)[:, -self.k, None]
+                of_others = np.where(self.ids[rows][going][:, None] == ids[at], NONE, score)
+                hits &= of_others >= np.partition(of_others, -self.k, axis=1)[:, -self.k, None]
             row, column = np.divmod(np.flatnonzero(hits), len(at))
             if not len(row):
                 continue
@@ -237,6 +243,16 @@ class Search:
         return row, self.key[row, rank], self.score[row, rank]
 
 
+def _bounds(kind: str) -> str:
+    return "f4" if kind == "f4" else "f8"
+
+
+def _within(bound: np.ndarray, kth: np.ndarray, least: np.ndarray, kth_id: np.ndarray) -> np.ndarray:
+    """Which blocks may hold a row of the k best: a block that can only tie may hold a smaller id."""
+    kth = kth[:, None]
+    return (bound > kth) | (bound == kth) & (least <= kth_id[:, None])
+
+
 def ranks(row: np.ndarray) -> np.ndarray:
     """Each entry's place among equal entries of the ascending *row*."""
     if not len(row):
@@ -279,7 +295,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     chunks, lanes = layout(total, asked, dims, k)
     seeds = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(k + 1, min(SEEDS, SEED_VALUES // max(dims, 1)))).collect()
     known = (np.array([r["vec_id"] for r in seeds], np.int64), stacked([bytes(r["v"]) for r in seeds], dims)) if seeds else None
-    seed = spark.sparkContext.broadcast(known)
+    seed = spark.sparkContext.broadcast(in_order(*known) if known else None)
 
     queries = as_doubles(rows.filter(mine), dims).repartition(max(1, ceil(asked / TILE)), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
     dealt = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).sortWithinPartitions("chunk", "vec_id")
@@ -287,12 +303,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids, vs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "vs"))):
-                query_ids = np.frombuffer(ids, "<i8")
-                search = Search(query_ids, matrix(vs, len(query_ids), dims), k)
+                search = Search(*in_order(np.frombuffer(ids, "<i8"), matrix(vs, len(ids) // 8, dims)), k)
                 for start in range(0, len(seed.value[0]), TILE):
                     search.meet(*(x[start : start + TILE] for x in seed.value))
                 search.settle()
-                columns = [pa.array([chunk], pa.int32()), *(pa.array([x]) for x in (ids, vs, search.kth.tobytes(), search.kth_id.tobytes()))]
+                columns = [pa.array([chunk], pa.int32()), *(pa.array([x.tobytes()]) for x in (search.ids, search.vectors, search.kth, search.kth_id))]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "vs", "floors", "floor_ids"])
 
     ready = bundles(dealt, TILE, dims, ["chunk"]).mapInArrow(floors, "chunk int, ids binary, vs binary, floors binary, floor_ids binary")
@@ -312,9 +327,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
                 return None
             ids, floor, floor_id = (np.concatenate([np.frombuffer(w[c], "<i8") for w in waiting]) for c in (0, 2, 3))
             parts = [matrix(w[1], len(w[0]) // 8, dims) for w in waiting]
-            x = np.concatenate(parts)
-            order = np.argsort(cells(x), kind="stable")
-            return Search(ids[order], x[order], k, floor[order], floor_id[order])
+            ids, x, floor, floor_id = in_order(ids, np.concatenate(parts), floor, floor_id)
+            return Search(ids, x, k, floor, floor_id)
 
         def end() -> Iterator[pa.RecordBatch]:
             if search is not None:
